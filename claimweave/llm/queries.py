@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, quality, sharding, simhash, urlfilter
+from . import decontam, langid, packing, quality, sharding, simhash, substring, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+_SUBSTRING = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), late AS (
+  SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM late
+), lists AS (
+  SELECT r, list(j) AS js FROM gone GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, k: js IS NULL OR NOT list_contains(js, k)), ' ')) AS kept_sha256
+FROM d LEFT JOIN lists USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator; the others are tested against brute force."""
-    return {"op6_decontamination": _DECONTAM, "op7_url_filter": _URL_PARTS}
+    return {"op3_substring_dedup": _SUBSTRING, "op6_decontamination": _DECONTAM, "op7_url_filter": _URL_PARTS}
