@@ -17,8 +17,9 @@ chunks of the run meets in one cell), so no task holds an unbounded run; the gri
 still meets.  Components are found by ``connected_components``.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; repeated rows link
-to each other; rows without an id get the component of their fingerprint but are never a component's
-id; an empty table gives no rows; extra columns are ignored.
+to each other; rows that share an id are still told apart by their texts; a row without an id never
+names a component (one of such rows only has none); an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import durable, map_batches
 from .components import connected_components
@@ -158,11 +160,12 @@ def _long_run(fp: np.ndarray, start: int) -> tuple[list[int], list[int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, key, fp) -> links (a, b) of ids, a forest for each run."""
+    """Rows sorted by (cell, key, fp) -> links (a, b) of fingerprints, a forest for each run."""
     carry: list[np.ndarray] | None = None
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        cell, key, start, fp, node = cols
+        cell, key, start, fp = cols
+        node = fp.view(np.int64)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
         run = np.cumsum(new) - 1
@@ -180,7 +183,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
         cols[3] = cols[3].view(np.uint64)
         if carry is not None:
             cols = [np.concatenate(pair) for pair in zip(carry, cols, strict=True)]
@@ -200,7 +203,7 @@ def _keyed(nodes: DataFrame) -> DataFrame:
         F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("key"), F.lit(t // 2).alias("start"))
         for t, mask in enumerate(KEY_MASKS)
     ])).alias("k")
-    return nodes.select("fp", "node", key).select("k.key", "k.start", "fp", "node")
+    return nodes.select("fp", key).select("k.key", "k.start", "fp")
 
 
 def _cells(keyed: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
@@ -216,33 +219,60 @@ def _cells(keyed: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other) + 1,
     )
-    return dealt.select(F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(grid)).alias("cell"), "key", "start", "fp", "node")
+    return dealt.select(F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(grid)).alias("cell"), "key", "start", "fp")
 
 
 def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``nodes(fp, node)`` with distinct ``fp`` -> links ``(a, b)`` that span every group of near fingerprints."""
+    """``nodes(fp)``, all distinct -> links ``(a, b)`` that span every group of near fingerprints."""
     dealt = _cells(_keyed(nodes), nodes, chunk)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "key", "cell").sortWithinPartitions("cell", "key", "fp").mapInArrow(_links, "a long, b long")
 
 
+def _grouped(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
+    rows = durable(fingerprints(docs), "simhash")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(nodes.select("fp"), chunk)).withColumnRenamed("node", "fp")
+    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, named.select("fp", "root").join(ids, "root")
+
+
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = durable(fingerprints(docs), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = connected_components(links(nodes.where(F.col("node").isNotNull()), chunk))
-    labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, groups = _grouped(docs, chunk)
+    return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and, as last column ``name``, each row's fingerprint."""
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
+
+    return docs.mapInArrow(body, schema)
 
 
 def keep_one_of_each(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
     Only the ids that go are joined, so texts move only where Spark finds those too many to broadcast.
-    Rows that share an id and are a group's smallest are folded to one.
+    Where ids repeat or are missing, an id does not tell which row is meant: then rows are matched by
+    fingerprint, rows of one group that share its smallest id fold to one, and a row without an id stays only
+    if no row of its group has one.
     """
-    judged = durable(near_duplicates(docs, chunk), "components")
-    gone = judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = not judged.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    rows, groups = _grouped(docs, chunk)
+    judged = durable(rows.join(groups, "fp"), "components")
+    plain = judged.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    if plain:
+        gone = judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    fp, root, least = "__fingerprint", "__root", "__least"
+    labels = judged.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)).distinct()
+    kept = _with_fingerprint(docs, fp).join(labels, fp).where(F.col(least).isNull() | (F.col("doc_id") == F.col(least)))
+    return kept.dropDuplicates([root]).select(*docs.columns)

@@ -119,7 +119,7 @@ def test_query_rows(spark, labeller):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("text", F.lit("clash")).withColumn("path", F.lit(1))
     out = sorted((tuple(r) for r in htmltext.main_text(df, labeller).collect()), key=repr)
     assert len(out) == 6
-    assert out.count((1, "http://a", "A b\n\nC d e.", 12)) == 2
+    assert out.count((1, "http://a", "A b\n\nC d e.", 11)) == 2
     assert (2, None, "", 0) in out and (3, "u", "", 0) in out
     long = next(r for r in out if r[0] == 4)
     assert long[3] == len(long[2]) > 300_000

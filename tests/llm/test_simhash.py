@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from util import DOC_SCHEMA, clashing, corpus, frame
+from util import DOC_SCHEMA, clashing, corpus, frame, prose
 
 from claimweave.llm import simhash
 from claimweave.llm.components import connected_components
@@ -68,10 +68,13 @@ def random_fingerprints(seed, n):
 def test_links_lose_nothing_even_when_every_key_is_dealt_over_cells(spark):
     fps = random_fingerprints(7, 300)
     want = slow_components(list(enumerate(fps)))
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, node long")
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     for chunk in (4096, 40):
         roots = {r.node: r.root for r in connected_components(simhash.links(nodes, chunk)).collect()}
-        assert [roots.get(i, i) for i in range(len(fps))] == want
+        groups = [roots.get(x, x) for x in signed]
+        first = {g: i for i, g in reversed(list(enumerate(groups)))}
+        assert [first[g] for g in groups] == want
 
 
 def test_pigeonring_keys_cover_every_near_pair():
@@ -101,5 +104,16 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+def test_rows_that_share_an_id_keep_their_own_groups(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 80) for _ in range(3)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[1]), (None, texts[2]), (9, texts[0])]
+    df = frame(spark, [(i, t, None, None, 1) for i, t in rows])
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(i, f"{slow_fingerprint(t):016x}", None if i is None else 5) for i, t in rows}
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2])], key=repr)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
