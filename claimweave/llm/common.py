@@ -50,6 +50,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_apart(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a summary with one row for each ``key``, in exchanges that AQE may split.
+
+    A summary that was just aggregated by ``key`` is partitioned by it already; a plain join would reuse that
+    partitioning, and Spark splits no partition that an aggregate depends on.  A second, derived key makes
+    the join deal both sides anew, so a key that holds a third of all rows spreads over many tasks.
+    """
+    apart = "__apart"
+    marked = summary.withColumn(apart, F.xxhash64(key))
+    return rows.withColumn(apart, F.xxhash64(key)).join(marked, [key, apart], how).drop(apart)
+
+
 def map_batches(df: DataFrame, columns: list[str], body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that the scan stays pruned."""
     return df.select(*columns).mapInArrow(body, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import durable, map_batches
+from .common import durable, join_apart, map_batches
 from .components import connected_components
 
 SHINGLE = 4
@@ -236,7 +236,7 @@ def _grouped(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     roots = connected_components(links(nodes.select("fp"), chunk)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, named.select("fp", "root").join(ids, "root")
+    return rows, join_apart(named.select("fp", "root"), ids, "root")
 
 
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
