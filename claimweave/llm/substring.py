@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, join_apart, map_batches
 
 WINDOW = 50
 K = 12
@@ -178,12 +178,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
     base = durable(_base(rows), "texts")
     first = base.groupBy("sha").agg(F.min("id").alias("first_id"))
-    copies = base.join(first, "sha").where(F.col("id") > F.col("first_id")).select("id", "txt").distinct()
+    copies = join_apart(base, first, "sha").where(F.col("id") > F.col("first_id")).select("id", "txt").distinct()
 
     anchors = durable(_anchors(rows, window, k), "anchors")
     common = anchors.groupBy("a").agg(F.min("txt").alias("lo"), F.max("txt").alias("hi")).where("lo < hi").select("a")
     places = (
-        anchors.join(common, "a", "left_semi")
+        join_apart(anchors, common, "a", "left_semi")
         .groupBy("id", "txt").agg(F.collect_list("pos").alias("places"))  # no longer than the document
         .join(copies, ["id", "txt"], "left_anti")
     )
@@ -191,13 +191,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     windows = durable(_windows(shared, window, k), "windows")
     earliest = windows.groupBy("w").agg(F.min("id").alias("least"))
     spans = (
-        windows.join(earliest, "w").where(F.col("least") < F.col("id"))
+        join_apart(windows, earliest, "w").where(F.col("least") < F.col("id"))
         .groupBy("id", "txt").agg(F.collect_list("pos").alias("starts"))
     )
     cut = _cut(shared.select("id", "txt", "text").join(spans, ["id", "txt"]), window).dropDuplicates(["id", "txt"])
     whole = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= window)
     return (
-        base.join(first, "sha").join(cut, ["id", "txt"], "left")
+        join_apart(base, first, "sha").join(cut, ["id", "txt"], "left")
         .select(
             F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words",
             F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
