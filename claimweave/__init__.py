@@ -1,0 +1 @@
+"""Spark-native analytics for checking spoken claims against written documents."""
