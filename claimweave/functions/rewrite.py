@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ids import quarter_label
-from .numbers import general
+from .numbers import general, let
 from .text import collapse
 
 # The wording that the rules look for.
@@ -24,16 +24,16 @@ STANDARD, YEAR_ONLY, COMPOSITE = "STANDARD_QUARTER", "FULL_YEAR_ONLY", "Q4_COMPO
 
 def expand_billions(query: Column) -> Column:
     """`` (N million)`` after every amount in billions that has none yet."""
-    hits = F.regexp_extract_all(query, F.lit(AMOUNT), 1)
-    rest = F.split(query, AMOUNT, -1)
-
-    def piece(hit: Column, i: Column) -> Column:
+    def piece(hit: Column, i: Column, rest: Column) -> Column:
         after = F.element_at(rest, i + 2)
-        value = F.regexp_extract(hit, r"(\d+(?:\.\d+)?)", 1).try_cast("double") * 1000
-        shown = F.when(value == F.floor(value), F.format_string("%.0f", value)).otherwise(general(value))
-        return F.concat(hit, F.when(after.rlike(EXPANDED), F.lit("")).otherwise(F.concat(F.lit(" ("), shown, F.lit(" million)"))), after)
+        thousands = F.regexp_extract(hit, r"(\d+(?:\.\d+)?)", 1).try_cast("double") * 1000
+        suffix = let(thousands, lambda v: F.concat(F.lit(" ("), F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(general(v)), F.lit(" million)")))
+        return F.concat(hit, F.when(after.rlike(EXPANDED), F.lit("")).otherwise(suffix), after)
+
+    def joined(parts: Column) -> Column:
+        return F.concat(parts["rest"][0], F.array_join(F.transform(parts["hits"], lambda hit, i: piece(hit, i, parts["rest"])), ""))
 
-    return F.concat(F.element_at(rest, 1), F.array_join(F.transform(hits, piece), ""))
+    return let(F.struct(F.regexp_extract_all(query, F.lit(AMOUNT), 1).alias("hits"), F.split(query, AMOUNT, -1).alias("rest")), joined)
 
 
 def expand_revenue(query: Column) -> Column:
@@ -42,7 +42,7 @@ def expand_revenue(query: Column) -> Column:
 
 
 def expand_units(query: Column) -> Column:
-    return expand_revenue(expand_billions(query))
+    return let(expand_billions(query), expand_revenue)
 
 
 def temporal_scope(text: Column, fiscal_quarter: Column) -> Column:
@@ -52,8 +52,7 @@ def temporal_scope(text: Column, fiscal_quarter: Column) -> Column:
 
 
 def _period_as(query: Column, phrase: str) -> Column:
-    swapped = F.regexp_replace(query, Q4_WORDS, phrase)
-    return collapse(F.when(swapped == query, F.concat(F.lit(f"for {phrase} "), query)).otherwise(swapped))
+    return let(query, lambda q: let(F.regexp_replace(q, Q4_WORDS, phrase), lambda s: collapse(F.when(s == q, F.concat(F.lit(f"for {phrase} "), q)).otherwise(s))))
 
 
 def annual_query(query: Column) -> Column:

@@ -154,8 +154,8 @@ def overlap_modes(spark, d):
 SELECT o_orderkey, round(avg(hit), 6) AS rate, avg(hit) > 0.5 AS hit FROM (SELECT o_orderkey, CASE WHEN len(list_filter(x.v, lambda y: contains(passage, y))) > 0 THEN 1.0 ELSE 0.0 END AS hit FROM t) GROUP BY o_orderkey""")
 def truth_match(spark, d):
     passage = F.concat(F.lit("In 2024 sales came to "), "shown", F.lit(" and rose "), F.col("cnt").cast("string"), F.lit("% at stores"))
-    m = figures.match_truth(figures.truth_tokens(F.col("claim")), passage)
-    return _figured(spark, d).select("o_orderkey", F.round(m["rate"], 6).alias("rate"), m["hit"].alias("hit"))
+    rows = _figured(spark, d).select("o_orderkey", figures.match_truth(figures.truth_tokens(F.col("claim")), passage).alias("m"))
+    return rows.select("o_orderkey", F.round("m.rate", 6).alias("rate"), "m.hit")
 
 
 @query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([(o_orderkey % 7)::INT, (o_custkey % 9)::INT, (o_orderkey % 4)::INT], lambda i: i BETWEEN 1 AND 5))), ',') AS passages FROM orders""")
