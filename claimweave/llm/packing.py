@@ -6,10 +6,11 @@ is packed best-fit decreasing, then searched locally: pieces of the emptiest seq
 into others, or one or two of them are exchanged for one smaller piece, whenever that raises the sum of
 squared fills, until sequences run empty.  The search stops early at a proven lower bound.
 
-Scale: texts are tokenised where they are read; only (id, piece, length, checksum) rows are shuffled,
-once.  The number of groups follows the row count, so a group's memory is bounded; what grouping can
-cost is one partly filled sequence a group.  Groups are dealt round-robin inside a task, whatever the
-ids or lengths, so no value of any column can make a group large.
+Scale: texts are tokenised where they are read; the pieces with their ids are shuffled once and come out
+with their place.  A piece that fills a sequence streams through its group; only the others, at most one a
+document, are held there.  The number of groups follows the row count, so a group's memory is bounded;
+what grouping can cost is one partly filled sequence a group.  Groups are dealt round-robin inside a
+task, whatever the ids or lengths, so no value of any column can make a group large.
 
 Tokens: ``tiktoken`` with the same vocabulary and merges as the ``tokenizers`` file, which gives equal ids
 (tested) in a quarter of the time.  Stretches between single spaces are tokenised once per worker and
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -40,7 +42,10 @@ MEMO = 200_000
 PATIENCE = 48
 #: Passes over the sequences, emptiest first; each ends early when nothing improves.
 SWEEPS = 6
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Ids of the sequences that one piece fills start here; groups have theirs below.
+FULL = 1 << 62
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
 
 
 def default_ranks() -> str:
@@ -107,22 +112,34 @@ def cut(ids: bytes, length: int = LENGTH) -> list[tuple[int, bytes]]:
     return [(a, ids[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
+def _ids_array(ids: list[bytes]) -> pa.ListArray:
+    """A list<int> array of little-endian 32-bit ids."""
+    edges = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def pieces(docs: DataFrame, groups: int, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
+    """Every piece with its ids; one that fills a sequence has that sequence's id already, the others a group."""
     path = ranks_path or default_ranks()
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
-        deal = (TaskContext.get().partitionId() * 7919) % groups
-        for batch in batches:
-            out = []
+        part = TaskContext.get().partitionId()
+        deal, alone = (part * 7919) % groups, FULL + (part << 40)
+        for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
+            out, all_ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, (start, ids) in enumerate(cut(tokens.encode(text or "") + b"\0\0\0\0", length)):
-                    out.append((doc, k, start, len(ids) // 4, zlib.crc32(ids), deal))
+                    full = len(ids) == 4 * length
+                    out.append((doc, k, start, len(ids) // 4, alone if full else None, deal))
+                    all_ids.append(ids)
+                    alone += full
                     deal = (deal + 1) % groups
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "grp"])
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, _ids_array(all_ids)], ["doc_id", "piece", "start", "length", "sequence_id", "grp", "ids"])
 
-    return map_batches(docs, ["doc_id", "text"], body, "doc_id long, piece int, start long, length long, ids_crc32 long, grp long")
+    return map_batches(docs, ["doc_id", "text"], body, "doc_id long, piece int, start long, length long, sequence_id long, grp long, ids array<int>")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -221,26 +238,51 @@ def _best_step(items, size, home, free, gets):
     return found
 
 
-def pack_group(rows: pa.Table, capacity: int) -> pa.Table:
+def _checked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """With the checksum of each row's ids."""
+    ids = batch.column("ids")
+    edges, values = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy()).cast("B")
+    sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return batch.append_column("ids_crc32", pa.array(sums, pa.int64()))
+
+
+def _placed(rows, sequence_id: pa.Array, offset: np.ndarray):
+    columns = {name: rows.column(name) for name in rows.schema.names} | {"sequence_id": sequence_id, "offset": pa.array(offset, pa.int64())}
+    return type(rows).from_arrays([columns[name] for name in COLUMNS], COLUMNS)
+
+
+def pack_group(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     """Sequence and place of every piece of one group; the input order does not matter."""
-    rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-    sizes = rows.column("length").to_pylist()
+    held = []
+    for batch in batches:
+        batch = _checked(batch)
+        full = batch.column("sequence_id").is_valid()
+        whole = batch.filter(full)
+        if whole.num_rows:
+            yield _placed(whole, whole.column("sequence_id"), np.zeros(whole.num_rows, np.int64))
+        if whole.num_rows < batch.num_rows:
+            held.append(batch.filter(pc.invert(full)))
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    order = pc.sort_indices(rows.drop_columns(["ids"]), sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
+    sizes = rows.column("length").to_numpy()[order].tolist()
     bins = local_search(best_fit(sizes, capacity), sizes, capacity)
     seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    first = (rows.column("grp")[0].as_py() if len(sizes) else 0) << 32
+    first = rows.column("grp")[0].as_py() << 32
     for b, items in enumerate(bins):
         at = 0
         for k in items:
-            seq[k], off[k] = first + b, at
+            seq[order[k]], off[order[k]] = first + b, at
             at += sizes[k]
-    return rows.drop_columns(["grp"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+    yield from _placed(rows, pa.array(seq), off).to_batches()
 
 
 def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the token ids of every piece."""
     groups = row_budget(docs.count(), group)
 
-    def one(rows: pa.Table) -> pa.Table:
-        return pack_group(rows, length)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack_group(batches, length)
 
     return pieces(docs, groups, length, ranks_path).groupBy("grp").applyInArrow(one, SCHEMA)

@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 language ID -> near-duplicate removal -> benchmark decontamination -> masking of personal data -> packing.
 
 Every stage works on all rows its predecessor kept.  The first four return the columns of ``documents``;
-the last returns the packed pieces.  Written tables between stages mean that a lost executor never
+the last returns the packed pieces with
+their token ids.  Written tables between stages mean that a lost executor never
 replays an earlier stage.
 """
 
@@ -36,7 +37,7 @@ def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences."""
+    """Token pieces of all documents with their ids, placed in sequences."""
     return packing.pack(docs)
 
 
