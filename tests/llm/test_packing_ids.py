@@ -1,5 +1,6 @@
 """The packing operator returns the token ids themselves, piece by piece and in their sequence."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -32,3 +33,14 @@ def test_documents_can_be_rebuilt_from_the_pieces(spark):
                 assert offset == at
                 at += len(ids)
             assert at <= length
+
+
+def test_added_tokens_get_the_ids_of_the_tokenizers_library():
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = packing.Tokens(packing.default_ranks())
+    assert np.frombuffer(tokens.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endo", "<|", "|>", "a", " ", "  ", "\n", "don't", "12", "é", "日本"]
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 20)))
+        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == hf.encode(text, add_special_tokens=False).ids, repr(text)
