@@ -50,6 +50,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``durable`` wrote for ``df``, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def join_apart(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` to a summary with one row for each ``key``, in exchanges that AQE may split.
 

@@ -10,10 +10,11 @@ Here the same spans are found in linear work:
 3. Documents with a remaining anchor emit the hashes of exactly the windows around those anchors; the
    smallest document of every window is a pre-aggregated minimum.  A window whose smallest document is
    smaller than its own is removed; overlapping windows join to maximal spans.
+4. The spans are joined to the texts, and every document comes out with its kept text and removed spans.
 
 Scale: hashes are aggregated with map-side combining and joined to one row per key, so a passage that a
-third of all documents holds is a skewed side that AQE may split, never a group in one task.  Only
-documents that share something have their text moved, once; no pairs of documents are ever formed.
+third of all documents holds is a skewed side that AQE may split, never a group in one task.  Texts move
+once for the cut, those that share something once more before; no pairs of documents are ever formed.
 Window hashes have 64 bits.
 
 Edge cases: a null text has no words; a document without id counts as the largest and is never
@@ -32,13 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_apart, map_batches
+from .common import discard, durable, map_batches
 
 WINDOW = 50
 K = 12
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -104,9 +104,9 @@ def _base(docs: DataFrame) -> DataFrame:
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             keys = [_text_key(b" ".join(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())], ["id", "n_words", "sha", "txt"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())], ["id", "raw", "n_words", "sha", "txt"])
 
-    return map_batches(docs, ["id", "text"], body, "id long, n_words long, sha string, txt long")
+    return map_batches(docs, ["id", "text", "raw"], body, "id long, raw long, n_words long, sha string, txt long")
 
 
 def _anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
@@ -150,57 +150,79 @@ def _windows(shared: DataFrame, window: int, k: int) -> DataFrame:
     return map_batches(shared, ["id", "txt", "text", "places"], body, "w long, id long, txt long, pos int")
 
 
-def _cut(spans: DataFrame, window: int) -> DataFrame:
-    """Number of covered words and digest of the words kept."""
+def _cut(rows: DataFrame, window: int) -> DataFrame:
+    """Removed spans and kept text of every row, by the starts of its removed windows or ``whole``."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, txt, text, starts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        for batch in (b.slice(s, 1024) for b in batches for s in range(0, b.num_rows, 1024)):
+            n_words, n_removed, spans, texts = [], [], [], []
+            for text, whole, starts in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 words = words_of(text)
-                if _text_key(b" ".join(words))[1] != txt:
-                    continue
-                flag = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(starts, np.int64))
-                flag[at] += 1
-                flag[at + window] -= 1
-                gone = np.cumsum(flag[:-1]) > 0
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append((doc, txt, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "txt", "gone", "kept"])
-
-    return map_batches(spans, ["id", "txt", "text", "starts"], body, "id long, txt long, gone long, kept string")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
+                found = [(0, len(words))] if whole else _joined(np.unique(np.array(starts or [], np.int64)), window)
+                kept, at = [], 0
+                for a, b in found:
+                    kept += words[at:a]
+                    at = b
+                n_words.append(len(words))
+                n_removed.append(sum(b - a for a, b in found))
+                spans.append([{"start": a, "end": b} for a, b in found])
+                texts.append(b" ".join(kept + words[at:]).decode("utf-8", "surrogatepass"))
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(texts, pa.string()),
+            ], ["id", "n_words", "n_removed", "removed", "kept_text"])
+
+    return map_batches(rows, ["id", "text", "whole", "starts"], body, "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+
+
+def _joined(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal spans of the windows at sorted ``starts``."""
+    if not len(starts):
+        return []
+    edges = np.nonzero(np.diff(starts) > window)[0]
+    first, last = starts[np.append(0, edges + 1)], starts[np.append(edges, len(starts) - 1)]
+    return list(zip(first.tolist(), (last + window).tolist(), strict=True))
+
+
+def _join_apart(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``common.join_apart`` with a second key that is always 0, so that it costs next to nothing in the exchange."""
+    apart = F.xxhash64(key).bitwiseAND(F.lit(0)).alias("apart")
+    return rows.select("*", apart).join(summary.select("*", apart), [key, "apart"], how).drop("apart")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, removed (word positions, end exclusive) and kept_text.
+
+    ``kept_text`` holds the kept words with single spaces between them; other columns of ``docs`` are ignored.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", F.xxhash64("text").alias("raw"))
     base = durable(_base(rows), "texts")
     first = base.groupBy("sha").agg(F.min("id").alias("first_id"))
-    copies = join_apart(base, first, "sha").where(F.col("id") > F.col("first_id")).select("id", "txt").distinct()
+    copies = _join_apart(base, first, "sha").where(F.col("id") > F.col("first_id")).select("id", "raw", "txt", "n_words")
 
     anchors = durable(_anchors(rows, window, k), "anchors")
     common = anchors.groupBy("a").agg(F.min("txt").alias("lo"), F.max("txt").alias("hi")).where("lo < hi").select("a")
     places = (
-        join_apart(anchors, common, "a", "left_semi")
+        _join_apart(anchors, common, "a", "left_semi")
         .groupBy("id", "txt").agg(F.collect_list("pos").alias("places"))  # no longer than the document
-        .join(copies, ["id", "txt"], "left_anti")
+        .join(copies.select("id", "txt").distinct(), ["id", "txt"], "left_anti")
     )
-    shared = durable(rows.join(places, "id"), "shared")
+    shared = rows.select("id", "text").join(places, "id")
     windows = durable(_windows(shared, window, k), "windows")
+    discard(anchors)
     earliest = windows.groupBy("w").agg(F.min("id").alias("least"))
     spans = (
-        join_apart(windows, earliest, "w").where(F.col("least") < F.col("id"))
+        _join_apart(windows, earliest, "w").where(F.col("least") < F.col("id"))
         .groupBy("id", "txt").agg(F.collect_list("pos").alias("starts"))
     )
-    cut = _cut(shared.select("id", "txt", "text").join(spans, ["id", "txt"]), window).dropDuplicates(["id", "txt"])
-    whole = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= window)
-    return (
-        join_apart(base, first, "sha").join(cut, ["id", "txt"], "left")
-        .select(
-            F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words",
-            F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(whole, F.lit(_EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        )
-    )
+    some = base.select("id", "raw", "txt").distinct().join(spans, ["id", "txt"]).select("id", "raw", F.lit(False).alias("whole"), "starts")
+    whole = copies.where(F.col("n_words") >= window).select("id", "raw", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")).distinct()
+    # Copies have no windows, so a row is in one of the two at most.
+    removed = some.unionByName(whole)
+    cut = _cut(rows.join(removed, ["id", "raw"], "left"), window)
+    return cut.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "removed", "kept_text")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """Digest of ``cut_repeats``: doc_id, n_words, n_removed, kept_sha256."""
+    return cut_repeats(docs, window, k).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
