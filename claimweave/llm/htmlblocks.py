@@ -24,7 +24,8 @@ _ENDS = {
 #: An implied end never reaches out of these.
 _SCOPE = frozenset("table ul ol dl body div section article aside nav main header footer form td th select".split())
 _MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Attributes and the end of a tag.  A quote opens a value only right after "="; elsewhere, or without a partner, it is a character.
+_TAG_END = re.compile(r"""(?:[ \t\n\r\f/]|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>]*+))?+)*+>""")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -53,6 +54,15 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
     links = linked = 0
     at, end = 0, len(page)
     lower = None
+    plain = False  # after a tag without an end, every tag of the page ends at its first ">"
+
+    def tag_end(start: int) -> int:
+        """Place after the tag; 0: nothing ends it."""
+        nonlocal plain
+        if not plain and (m := _TAG_END.match(page, start)):
+            return m.end()
+        plain = True
+        return page.find(">", start) + 1
 
     def text(part: str) -> None:
         nonlocal linked
@@ -92,10 +102,9 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
             at = end if close < 0 else close + (3 if m[0] == "<!--" else 1)
             continue
         tag = name.lower()
-        stop = _TAG_END.match(page, m.end())
-        if stop is None:  # no end of this tag: what is left is no text
+        at = tag_end(m.end())
+        if not at:  # no end of this tag: what is left is no text
             break
-        at = stop.end()
         attributes = page[m.end() : at - 1]
         if m[1]:
             if tag == "br":
@@ -116,8 +125,7 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
             if close < 0:
                 break
             at = close
-            shut = _TAG_END.match(page, close + 2 + len(tag))
-            at = end if shut is None else shut.end()
+            at = tag_end(close + 2 + len(tag)) or end
             continue
         if tag in _INLINE:
             if tag in ("br", "img", "wbr"):
