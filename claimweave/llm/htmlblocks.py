@@ -16,6 +16,7 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe textarea title svg math object xmp noembed noframes".split())
+_RAW_END = {tag: re.compile("</" + tag, re.IGNORECASE | re.ASCII) for tag in _RAW}
 #: Elements that an opening tag of the same group ends.
 _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -53,7 +54,6 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
     pieces: list[str] = []
     links = linked = 0
     at, end = 0, len(page)
-    lower = None
     plain = False  # after a tag without an end, every tag of the page ends at its first ">"
 
     def tag_end(start: int) -> int:
@@ -120,12 +120,10 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
                         break
             continue
         if tag in _RAW and not attributes.endswith("/"):
-            lower = lower or page.lower()
-            close = lower.find("</" + tag, at)
-            if close < 0:
+            close = _RAW_END[tag].search(page, at)
+            if close is None:
                 break
-            at = close
-            at = tag_end(close + 2 + len(tag)) or end
+            at = tag_end(close.end()) or end
             continue
         if tag in _INLINE:
             if tag in ("br", "img", "wbr"):

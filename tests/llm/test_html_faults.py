@@ -35,3 +35,10 @@ def test_faulty_tags_take_linear_time():
     for page in ("<a b=\">\"" * 50_000, "<a b='" * 50_000, "<a b=\"'>" * 50_000, "<a " + " " * 200_000 + "<p", "<a " + "b " * 100_000):
         blocks(page)
     assert time.monotonic() - start < 20
+
+
+def test_raw_elements_end_where_they_do_in_the_page_itself():
+    for raw in ("script", "style", "title", "svg"):
+        page = "<p>" + "İ" * 40 + f"</p><{raw}>x</{raw.upper()}><p>Bir paragraf.</p><{raw}>y</{raw}><p>Son."
+        assert texts(page) == ["İ" * 40, "Bir paragraf.", "Son."]
+    assert texts("<script>a</ſcript>b</script><p>c") == ["c"]
