@@ -31,26 +31,44 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _WORDS = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An element: the one above it and its tokens, which are its tag name and class, id and role words."""
+
+    __slots__ = ("above", "names")
+
+    def __init__(self, above: Node | None, names: tuple[str, ...]):
+        self.above, self.names = above, names
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # tokens of the nearest ancestors: tag names, and class, id and role words
+    node: Node | None  # the element around it; shared, so that deep pages take linear space
     linked: float  # share of the characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tokens of all ancestors, outermost first."""
+        names, node = [], self.node
+        while node is not None:
+            names.append(node.names)
+            node = node.above
+        return tuple(t for ns in reversed(names) for t in ns)
+
 
 def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
     if "=" in attributes:
         for m in _NAMES.finditer(attributes):
-            out += ["." + w for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())[:8]]
+            out += ["." + w for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())]
     return tuple(out)
 
 
-def blocks(page: str | None, depth: int = 12) -> list[Block]:
+def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of one page; null or empty: none."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
     pieces: list[str] = []
     links = linked = 0
     at, end = 0, len(page)
@@ -77,7 +95,7 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
             whole = "".join(pieces)
             joined = " ".join(whole.split())
             if joined:
-                out.append(Block(joined, tuple(t for _, names in stack[-depth:] for t in names), min(1.0, linked / len(whole))))
+                out.append(Block(joined, stack[-1][1] if stack else None, min(1.0, linked / len(whole))))
             pieces.clear()
         linked = 0
 
@@ -138,6 +156,6 @@ def blocks(page: str | None, depth: int = 12) -> list[Block]:
         pop_to(("p",))
         if tag in _ENDS:
             pop_to(_ENDS[tag])
-        stack.append((tag, _tokens(tag, attributes)))
+        stack.append((tag, Node(stack[-1][1] if stack else None, _tokens(tag, attributes))))
     flush()
     return out

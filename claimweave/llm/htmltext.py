@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is the sequence of its leaf blocks.  Each block is described by a tag-path vector (summed
-trainable embeddings of hashed tag, class, id and role words of its ancestors), a hashed-word vector
+trainable embeddings of hashed tag, class, id and role words of all its ancestors, however deep), a hashed-word vector
 (mean embedding of its words) and a few measures.  A bidirectional LSTM reads the whole sequence, so that
 every block is labelled, main text or not, in view of all others; the main blocks are joined in page
 order.  Everything is numpy, training included.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches
-from .htmlblocks import Block, blocks
+from .htmlblocks import Block, Node, blocks
 
 PATH_BUCKETS, PATH_DIM = 2048, 20
 WORD_BUCKETS, WORD_DIM = 1024, 8
@@ -60,7 +60,7 @@ def _bucket(token: str, buckets: int) -> int:
 
 
 _WORDS = _Memo(lambda word: _bucket(word, WORD_BUCKETS))
-_PATHS = _Memo(lambda path: [_bucket("<" + t, PATH_BUCKETS) for t in ("root", *path)], 50_000)
+_NAMES = _Memo(lambda names: [_bucket("<" + t, PATH_BUCKETS) for t in names], 50_000)
 
 
 class Encoded:
@@ -68,10 +68,23 @@ class Encoded:
 
     def __init__(self, found: list[Block]):
         self.n = len(found)
-        paths = [_PATHS[b.path] for b in found]
+        place: dict[Node | None, int] = {None: 0}  # the root, and every element that is above a block
+        names, self.above, self.level = [_NAMES[("root",)]], [0], [0]
+        for b in found:
+            chain, node = [], b.node
+            while node not in place:
+                chain.append(node)
+                node = node.above
+            for node in reversed(chain):
+                above = place[node.above]
+                place[node] = len(names)
+                names.append(_NAMES[node.names])
+                self.above.append(above)
+                self.level.append(self.level[above] + 1)
+        self.node = [place[b.node] for b in found]
         words = [b.text.lower().split() for b in found]
-        self.path = np.array([x for p in paths for x in p], np.int32)
-        self.path_n = [len(p) for p in paths]
+        self.path = np.array([x for p in names for x in p], np.int32)
+        self.path_n = [len(p) for p in names]
         self.word = np.array([x for ws in words for x in map(_WORDS.__getitem__, ws)], np.int32)
         self.word_n = [len(ws) for ws in words]
         last = max(1, self.n - 1)
@@ -82,10 +95,37 @@ class Encoded:
 
 
 def _flat(pages: list[Encoded], what: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all blocks of all pages, and the number of each block's."""
+    """Buckets of all blocks (of all elements, for paths) of all pages, and the number of each one's."""
     return np.concatenate([getattr(p, what) for p in pages]), np.array([n for p in pages for n in getattr(p, what + "_n")])
 
 
+class _Trees:
+    """The elements of several pages, with those of each depth, and the element of every block."""
+
+    def __init__(self, pages: list[Encoded]):
+        base = np.cumsum([0, *(len(p.above) for p in pages)])[:-1]
+        self.buckets, self.count = _flat(pages, "path")
+        self.above = np.concatenate([np.array(p.above) + b for p, b in zip(pages, base, strict=True)])
+        self.node = np.concatenate([np.array(p.node, np.int64) + b for p, b in zip(pages, base, strict=True)])
+        level = np.concatenate([np.array(p.level) for p in pages])
+        order = np.argsort(level, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(level))[:-1])[1:]
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """For each block the embeddings of all its ancestors' tokens, summed."""
+        total = np.add.reduceat(table[self.buckets], np.cumsum(self.count) - self.count, axis=0)
+        for at in self.levels:
+            total[at] += total[self.above[at]]
+        return total[self.node]
+
+    def back(self, d: np.ndarray, grad: np.ndarray) -> None:
+        total = np.zeros((len(self.above), d.shape[1]), d.dtype)
+        np.add.at(total, self.node, d)
+        for at in reversed(self.levels):
+            np.add.at(total, self.above[at], total[at])
+        np.add.at(grad, self.buckets, np.repeat(total, self.count, axis=0))
+
+
 def _glorot(rng, *shape):
     return (rng.normal(size=shape) * np.sqrt(2 / (shape[0] + shape[-1]))).astype(np.float32)
 
@@ -107,10 +147,9 @@ class Labeller:
         self.p["ob"] = np.zeros(1, np.float32)
 
     def _inputs(self, pages: list[Encoded], steps: int) -> tuple[np.ndarray, np.ndarray]:
-        path, path_n = _flat(pages, "path")
         word, word_n = _flat(pages, "word")
         rows = np.concatenate([
-            np.add.reduceat(self.p["path"][path], np.cumsum(path_n) - path_n, axis=0),
+            _Trees(pages).sums(self.p["path"]),
             np.add.reduceat(self.p["word"][word], np.cumsum(word_n) - word_n, axis=0) / word_n[:, None].astype(np.float32),
             np.concatenate([p.measure for p in pages]),
         ], 1)
@@ -217,9 +256,8 @@ class Labeller:
         self._back(x, d_seen[:, :, :HIDDEN], "f", kept_f, grads, dx)
         self._back(x, d_seen[:, :, HIDDEN : 2 * HIDDEN], "b", kept_b, grads, dx)
         d_rows = dx[mask > 0]
-        path, path_n = _flat(pages, "path")
         word, word_n = _flat(pages, "word")
-        np.add.at(grads["path"], path, np.repeat(d_rows[:, :PATH_DIM], path_n, axis=0))
+        _Trees(pages).back(d_rows[:, :PATH_DIM], grads["path"])
         np.add.at(grads["word"], word, np.repeat(d_rows[:, PATH_DIM : PATH_DIM + WORD_DIM] / word_n[:, None].astype(np.float32), word_n, axis=0))
         return grads
 
@@ -229,6 +267,7 @@ class Labeller:
 _FUNCTION = "the of and to in a is that for it with as was on by la le de et les des un une que el los en der die und den das ein mit für es no".split()
 _MENU = "home about contact login news archive search help faq blog shop start accueil inicio impressum kontakt privacy terms sitemap rss more next previous".split()
 _NOTICE = "we use cookies to improve your experience accept decline privacy policy consent settings close this site subscribe newsletter sign up email free trial members only".split()
+_UTILITY = "col-md-12 col-lg-8 order-lg-1 mt-4 px-3 py-2 flex flex-col items-center justify-between gap-4 w-full max-w-lg mx-auto row container grid relative z-10 text-base bg-white shadow rounded d-none d-md-block js-view is-active inner wrap layout region block".split()
 _COMMENT = "reply says posted by anonymous user thanks great i think you lol agree comment likes report flag ago".split()
 
 
@@ -260,10 +299,21 @@ def page(rng: random.Random) -> tuple[str, list[bool]]:
             return _prose(rng, rng.randint(low, high), sounds)
         return " ".join(rng.choices(words, k=rng.randint(low, high))).capitalize()
 
+    def nest(share: float) -> tuple[str, str]:
+        """Sometimes a stack of wrappers without meaning."""
+        if rng.random() >= share:
+            return "", ""
+        depth = rng.randint(1, 24)
+        return "".join(f'<div class="{" ".join(rng.choices(_UTILITY, k=rng.randint(1, 10)))}">' if rng.random() < 0.7 else "<div>" for _ in range(depth)), "</div>" * depth
+
     def named(tag: str, *names: str) -> tuple[str, str]:
         attr = rng.choice(["class", "class", "id", "role"])
         extra = rng.choice(["", "", " data-x='1'", " style=\"margin:0\""])
-        return f'<{tag} {attr}="{rng.choice(names)}"{extra}>', f"</{tag}>"
+        name = rng.choice(names)
+        if attr == "class" and rng.random() < 0.2:
+            name = " ".join([*rng.choices(_UTILITY, k=rng.randint(1, 14)), name])
+        o, c = nest(0.1)
+        return f'<{tag} {attr}="{name}"{extra}>' + o, c + f"</{tag}>"
 
     def menu() -> None:
         o, c = rng.choice([("<nav>", "</nav>"), named("div", "menu", "nav", "navbar", "main-menu", "topnav", "breadcrumbs"), named("ul", "menu", "nav-list", "pagination"), named("nav", "site-nav", "breadcrumb")])
@@ -318,6 +368,8 @@ def page(rng: random.Random) -> tuple[str, list[bool]]:
     def story() -> None:
         kinds = [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), named("div", "content", "main-content", "post", "post-body", "entry-content", "story", "article", "article-body", "text"), named("section", "content", "article", "story"), named("article", "post", "entry", "article")]
         o, c = rng.choice(kinds)
+        inner = nest(0.25)
+        o, c = o + inner[0], inner[1] + c
         html.append(o)
         if rng.random() < 0.8:
             say("<h1>", _prose(rng, rng.randint(1, 12), sounds), "</h1>", True)
@@ -351,6 +403,8 @@ def page(rng: random.Random) -> tuple[str, list[bool]]:
         html.append(c)
 
     wrap = rng.choice([("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")])
+    outer = nest(0.2)
+    wrap = (wrap[0] + outer[0], outer[1] + wrap[1])
     html.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap[0])
     if rng.random() < 0.25:
         notice()
