@@ -26,14 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting and the context's own checkpoint folder are unset (local tests) is a
-    temporary folder used.
+    Only where that setting and the context's own checkpoint folder are unset, and only in a local session
+    (tests), is a temporary folder used; a cluster without a shared folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="claimweave-"))
     return context.getCheckpointDir()
 

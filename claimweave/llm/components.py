@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_apart
+from .common import discard, durable, join_apart
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        edges = durable(_small_star(_large_star(edges)).where("a < b").distinct(), "edges")
+        after_round = durable(_small_star(_large_star(edges)).where("a < b").distinct(), "edges")
+        discard(edges)
+        edges = after_round
         after = _checksum(edges)
         if after == before:
             break
