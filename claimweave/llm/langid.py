@@ -9,6 +9,8 @@ smallest seeded hash of each language, from rows whose ``crc32(doc_id) mod 4`` i
 turn them into vectors, so that the driver gets at most ``SAMPLE_ROWS`` vectors of ``DIM`` floats
 whatever the texts' lengths.  Prediction is a narrow map over all rows without a shuffle.
 
+Repeated rows are predicted one by one; a very long text is one vector of fixed size; extra columns are ignored.
+
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is everything if no
 language can be learned.  A null id counts as held out.  With one learned language, that one is
 predicted.  Ties of votes go to the larger summed margin, then to the smaller name.
@@ -16,7 +18,6 @@ predicted.  Ties of votes go to the larger summed margin, then to the smaller na
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,7 +47,6 @@ FAMILIES = {
     "austronesian": "id ms tl jv",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -59,7 +59,8 @@ def vector(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter (``½`` and ``²`` are none)."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> tuple[np.ndarray, float]:

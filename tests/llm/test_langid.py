@@ -23,6 +23,13 @@ def rows(n=240, seed=3):
     return out
 
 
+def test_only_letters_are_letters():
+    for text in ("", None, "½", "²", "1_2", "Ⅳ", "①", "\U0001f600", "٣", "_-"):
+        assert not langid.has_letter(text), text
+    for text in ("a", "é", "ª", "日", "½ß"):
+        assert langid.has_letter(text), text
+
+
 EDGE = [(1000, None, "en", "a", 1), (1001, "", "fr", "a", 1), (1002, "123 .. 5", "de", "a", 1), (None, "the of and that", None, None, 1), (1003, "der und die nicht " * 5000, None, "a", 1), (3, "the of and to", "en", "a", 1)]
 
 
