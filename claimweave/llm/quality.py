@@ -12,7 +12,8 @@ Expectation maximisation needs only the counts of distinct vote patterns, of whi
 posteriors has as many rows at most and is broadcast within that proven bound.
 
 Edge cases: a null or wordless text has zero counts and fails the base rules; an empty table gives no
-rows; repeated rows are judged one by one; extra columns are ignored.
+rows; repeated rows are judged one by one; a very long text is measured whole, in linear time; of two
+equal lines the later counts as the copy; a posterior of exactly ``KEEP`` keeps; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ RULES = [
     ("bare words", "symbol_words", (0, 0.05), (0, 0.25)),
 ]
 
-_SYMBOLS = list(b"#*$%&|<>")
+_MARKS = b"#*$%&|<>"
+_SYMBOLS = list(_MARKS)
 _SPACES = [9, 10, 11, 12, 13, 32]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -94,7 +96,7 @@ def measure(text: str | None) -> tuple[dict[str, float], tuple[int, ...]]:
         "marks_per_word": float(hist[33] + hist[63]) / some,
         "word_size": chars / some,
         "variety": min(1.0, len(set(words)) / some * max(1.0, (n / 1000) ** 0.5)),
-        "symbol_words": sum(hist[_SYMBOLS]) / some,
+        "symbol_words": sum(not w.strip(_MARKS) for w in words) / some if symbols else 0.0,
     }
     return values, (n, chars, symbols, dup, repeats)
 

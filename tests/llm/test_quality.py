@@ -42,6 +42,43 @@ def test_counts_match_brute_force(spark):
     assert all(verdicts[700 + k] for k in range(30)) and not any(verdicts[600 + k] for k in range(6))
 
 
+def test_no_two_rules_are_one_measure():
+    rng = random.Random(9)
+    values = [quality.measure(t)[0] for _, t, *_ in data()] + [quality.measure(" ".join(rng.choices(["a#b", "#", "%%", "word"], k=60)))[0] for _ in range(9)]
+    names = [r[1] for r in quality.RULES]
+    assert len(set(names)) == len(names)
+    for i, a in enumerate(names):
+        assert all(any(v[a] != v[b] for v in values) for b in names[:i])
+    some = quality.measure("a#b # <> word |x| $")[0]
+    assert some["symbol_words"] == 3 / 6
+
+
+def test_posteriors_match_a_row_by_row_version():
+    """Expectation maximisation over every row, instead of over pattern counts."""
+    rng = random.Random(2)
+    rows = ["".join(rng.choices("+-0", weights=[6, 1, 2], k=len(quality.RULES))) for _ in range(150)]
+    good = [0.02 if "-" in r else 0.98 for r in rows]
+    for _ in range(quality.ROUNDS):
+        score = []
+        for part in (good, [1 - g for g in good]):
+            share = (sum(part) + 0.5) / (len(rows) + 1)
+            table = [{v: (sum(p for p, r in zip(part, rows, strict=True) if r[k] == v) + 1 / 3) / (sum(part) + 1) for v in "+-0"} for k in range(len(rows[0]))]
+            weights = []
+            for r in rows:
+                w = share
+                for k, v in enumerate(r):
+                    w *= table[k][v]
+                weights.append(w)
+            score.append(weights)
+        new = [a / (a + b) for a, b in zip(*score, strict=True)]
+        done = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9
+        good = new
+        if done:
+            break
+    found = quality.posteriors(list(Counter(rows).items()))
+    assert all(abs(found[r] - g) < 1e-6 for r, g in zip(rows, good, strict=True))
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = random.Random(6)
     counts, truth = Counter(), {}
