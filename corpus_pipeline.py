@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm import decontam, langid, packing, pii, simhash
-from claimweave.llm.common import durable, table
+from claimweave.llm.common import discard, durable, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
+    """Documents that hold any window of a benchmark item go; ``n_items >= 2`` is the flag of op6 alone."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = durable(docs, f"stage-{n}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{n}")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
