@@ -100,3 +100,30 @@ def test_reference_spans_are_removed_shard_by_shard(spark):
             assert found[r[0]].n_removed == (n if n >= 20 else 0)
         assert found[12].n_words == 0 and found[12].kept_text == ""
     assert {r.n_removed for r in automaton.remove_reference_spans(frame(spark, rows[:5]), reference.limit(0)).collect()} == {0}
+
+
+def test_rows_without_an_id_meet_only_their_own_text(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{i} {passage} {i}", None, None, 1) for i in range(60)] + [(None, f"0 {passage} 0", None, None, 1)] * 3
+    found = substring.remove_repeats(frame(spark, rows + [(7, passage, "en", "a", 1)])).collect()
+    assert sorted(r.n_removed for r in found) == [0] + [60] * 63
+    pairs = substring._windows
+    seen = []
+
+    def counting(shared, window, k):
+        seen.append(shared.count())
+        return pairs(shared, window, k)
+
+    substring._windows = counting
+    try:
+        substring.remove_repeats(frame(spark, rows)).collect()
+    finally:
+        substring._windows = pairs
+    assert seen == [63]
+
+
+def test_window_hashes_hold_96_independent_bits():
+    words = [b"%d" % i for i in range(3000)]
+    one, two = substring.window_hashes(words, 50)
+    assert len(set(one.tolist())) == len(one) == 2951 and len(set(two.tolist())) > 2945
+    assert abs(np.corrcoef(one.astype(float), two.astype(float))[0, 1]) < 0.1
