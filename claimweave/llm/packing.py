@@ -4,7 +4,8 @@ Every document becomes its token ids and a closing id 0.  One longer than a sequ
 only its first piece can be shorter.  Pieces are dealt into groups of about ``GROUP`` pieces; a group
 is packed best-fit decreasing, then searched locally: pieces of the emptiest sequence are moved
 into others, or one or two of them are exchanged for one smaller piece, whenever that raises the sum of
-squared fills, until sequences run empty.  The search stops early at a proven lower bound.
+squared fills, until sequences run empty.  The search ends at a proven lower bound or where no step is left;
+all pieces and all pairs are weighed.
 
 Scale: texts are tokenised where they are read; the pieces with their ids are shuffled once and come out
 with their place.  A piece that fills a sequence streams through its group; only the others, at most one a
@@ -17,7 +18,8 @@ Tokens: ``tiktoken`` with the same vocabulary and merges as the ``tokenizers`` f
 kept in a bounded memo; at a double space, or one beside other white space, the whole text is encoded.
 Added tokens of the file (``<|endoftext|>``) that stand in a text become their own id, as there.
 
-Edge cases: a null or empty text is the single id 0; repeated rows are packed like any others; an
+Edge cases: a null or empty text is the single id 0; repeated rows are packed like any others; a very long
+text is cut, and its full pieces pass through; pieces of one length are taken by id, piece and checksum; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,6 +30,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,6 @@ from .common import map_batches, row_budget
 LENGTH = 2048
 GROUP = 16_384
 MEMO = 200_000
-#: Sequences in a row that the local search may fail to empty before it stops.
-PATIENCE = 48
-#: Passes over the sequences, emptiest first; each ends early when nothing improves.
-SWEEPS = 6
 #: Ids of the sequences that one piece fills start here; groups have theirs below.
 FULL = 1 << 62
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
@@ -176,72 +175,107 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Empties sequences by moves and by one-for-one and two-for-one exchanges that raise squared fill."""
+class _Search:
+    """One group's sequences, their fills, and the best step out of a given one."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.capacity, self.bins = capacity, [list(b) for b in bins]
+        self.size = np.array(sizes, np.int64)
+        self.home = np.empty(len(sizes), np.int64)
+        for b, items in enumerate(self.bins):
+            self.home[items] = b
+        self.fill = np.array([self.size[b].sum() for b in self.bins])
+
+    def best_step(self, b: int):
+        """(given pieces, taken piece or None, receiver) that takes most out of ``b``; None if nothing does.
+
+        Every single piece and every pair of pieces is weighed against every receiver and every piece that
+        could come back.  Only the sums matter, and a sum of pieces is at most ``capacity``.
+        """
+        items = self.bins[b]
+        if self.fill[b] == self.capacity:
+            return None
+        # Only fuller sequences with room receive, so every step raises the sum of squared fills.
+        gets = np.nonzero((self.fill >= max(1, self.fill[b])) & (self.fill < self.capacity))[0]
+        gets = gets[gets != b]
+        if not len(gets):
+            return None
+        room = self.capacity - self.fill[gets]
+        own = self.size[items]
+        pairs = (own[:, None] + own)[~np.eye(len(own), dtype=bool)]
+        sums = np.nonzero(np.bincount(np.concatenate([own, pairs]), minlength=1))[0]
+        sums = sums[sums <= self.capacity]
+        widest = int(room.max())
+        if 8 * len(gets) < len(self.bins):
+            others = np.fromiter(chain.from_iterable(self.bins[a] for a in gets), np.int64)
+        else:
+            receives = np.zeros(len(self.bins), bool)
+            receives[gets] = True
+            others = np.nonzero(receives[self.home])[0]
+        reach = self.size[others] + (self.capacity - self.fill[self.home[others]])  # what may stand in a piece's place
+        cheapest = np.full(self.capacity + 2, self.capacity + 1, np.int64)
+        np.minimum.at(cheapest, reach, self.size[others])
+        cheapest = np.minimum.accumulate(cheapest[::-1])[::-1]  # the smallest piece that makes way for a sum
+        gain = np.where(sums <= widest, sums, sums - cheapest[sums])
+        at = int(np.argmax(gain))
+        if gain[at] <= 0:
+            return None
+        total = int(sums[at])
+        give = self._pieces(items, own, total)
+        if total <= widest:
+            return give, None, int(gets[np.argmin(np.where(room >= total, room, self.capacity + 1))])
+        back = others[(reach >= total) & (self.size[others] == cheapest[total])][0]
+        return give, int(back), int(self.home[back])
+
+    @staticmethod
+    def _pieces(items: list[int], own: np.ndarray, total: int) -> tuple[int, ...]:
+        alone = np.nonzero(own == total)[0]
+        if len(alone):
+            return (items[alone[0]],)
+        seen: dict[int, int] = {}
+        for k, s in zip(items, own.tolist(), strict=True):
+            if total - s in seen:
+                return seen[total - s], k
+            seen.setdefault(s, k)
+        raise AssertionError("the sum came from these pieces")
+
+    def take(self, b: int, step) -> None:
+        give, back, a = step
+        for k in give:
+            self.bins[b].remove(k)
+            self.bins[a].append(k)
+            self.home[k] = a
+        moved = int(self.size[list(give)].sum())
+        if back is not None:
+            self.bins[a].remove(back)
+            self.bins[b].append(back)
+            self.home[back] = b
+            moved -= int(self.size[back])
+        self.fill[a] += moved
+        self.fill[b] -= moved
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Empties sequences by moves and by one-for-one and two-for-one exchanges that raise squared fill.
+
+    It ends at the lower bound, or when no sequence has a step left.  Squared fill rises with every step, so
+    it ends.
+    """
     bound = lower_bound(sizes, capacity)
     if len(bins) <= bound:
         return bins
-    bins = [list(b) for b in bins]
-    size = np.array(sizes, np.int64)
-    home = np.empty(len(sizes), np.int64)
-    for b, items in enumerate(bins):
-        home[items] = b
-    fill = np.array([size[b].sum() for b in bins])
-    alive = len(bins)
-    for _ in range(SWEEPS):
-        failed, improved = 0, False
-        for b in np.argsort(fill, kind="stable").tolist():
-            if alive <= bound or failed >= patience:
-                break
-            if not bins[b]:
-                continue
-            while bins[b]:
-                free = capacity - fill
-                # Only fuller sequences with room receive, so every step raises the sum of squared fills.
-                gets = (free > 0) & (fill >= fill[b]) & (fill > 0)
-                gets[b] = False
-                step = _best_step(bins[b], size, home, free, gets)
-                if step is None:
-                    break
-                give, take, a = step
-                for k in give:
-                    bins[b].remove(k)
-                    bins[a].append(k)
-                    home[k] = a
-                if take is not None:
-                    bins[a].remove(take)
-                    bins[b].append(take)
-                    home[take] = b
-                moved = int(size[list(give)].sum()) - (int(size[take]) if take is not None else 0)
-                fill[a] += moved
-                fill[b] -= moved
+    search = _Search(bins, sizes, capacity)
+    alive, improved = len(bins), True
+    while improved and alive > bound:
+        improved = False
+        for b in np.argsort(search.fill, kind="stable").tolist():
+            while search.bins[b] and (step := search.best_step(b)) is not None:
+                search.take(b, step)
                 improved = True
-            failed, alive = (failed + 1, alive) if bins[b] else (0, alive - 1)
-        if not improved or alive <= bound:
-            break
-    return [b for b in bins if b]
-
-
-def _best_step(items, size, home, free, gets):
-    """The move or exchange that takes most out of the sequence: (given, taken or None, receiver)."""
-    best, found = 0, None
-    room = np.where(gets, free, 0)
-    reach = size + room[home]  # what may stand in a piece's place
-    usable = room[home] > 0
-    pairs = [(i, j) for n, i in enumerate(items) for j in items[n + 1 :]][:64]
-    for give in [*((i,) for i in items), *pairs]:
-        s = int(size[list(give)].sum())
-        if s <= best:
-            continue
-        fits = np.nonzero(room >= s)[0]
-        if len(fits):
-            best, found = s, (give, None, int(fits[np.argmin(room[fits])]))
-            continue
-        swap = np.nonzero(usable & (reach >= s) & (size < s - best))[0]
-        if len(swap):
-            y = int(swap[np.argmin(size[swap])])
-            best, found = s - int(size[y]), (give, y, int(home[y]))
-    return found
+                alive -= not search.bins[b]
+            if alive <= bound:
+                break
+    return [b for b in search.bins if b]
 
 
 def _checked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -291,4 +325,6 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ranks_path:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack_group(batches, length)
 
-    return pieces(docs, groups, length, ranks_path).groupBy("grp").applyInArrow(one, SCHEMA)
+    # As many partitions as groups at least, so that a task's share of the ids does not grow with the corpus.
+    parts = max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces(docs, groups, length, ranks_path).repartition(parts, "grp").groupBy("grp").applyInArrow(one, SCHEMA)

@@ -71,6 +71,70 @@ def test_local_search_only_improves():
         assert packing.lower_bound(sizes, cap) <= len(better) <= len(start)
 
 
+def plain_step(bins, sizes, cap, b):
+    """The most that any move or exchange takes out of sequence ``b``."""
+    best = 0
+    fills = [sum(sizes[k] for k in x) for x in bins]
+    gives = [(k,) for k in bins[b]] + [(k, m) for n, k in enumerate(bins[b]) for m in bins[b][n + 1 :]]
+    for a, items in enumerate(bins):
+        if a == b or not items or fills[a] < fills[b]:
+            continue
+        for give in gives:
+            total = sum(sizes[k] for k in give)
+            for back in [0, *(sizes[k] for k in items)]:
+                if total > back and fills[a] + total - back <= cap:
+                    best = max(best, total - back)
+    return best
+
+
+def test_the_search_ends_where_no_step_is_left():
+    rng = random.Random(11)
+    for _ in range(60):
+        cap = rng.choice([20, 60, 100])
+        sizes = [rng.randint(1, cap * 2 // 3) for _ in range(rng.randint(1, 40))]
+        start = packing.best_fit(sizes, cap)
+        for b in range(len(start)):
+            step = packing._Search(start, sizes, cap).best_step(b)
+            taken = 0 if step is None else sum(sizes[k] for k in step[0]) - (0 if step[1] is None else sizes[step[1]])
+            assert taken == plain_step(start, sizes, cap, b)
+        end = packing.local_search(start, sizes, cap)
+        if len(end) > packing.lower_bound(sizes, cap):
+            assert not any(plain_step(end, sizes, cap, b) for b in range(len(end)))
+
+
+def fewest(sizes, cap):
+    """The least number of sequences, by trying all."""
+    best = [len(sizes)]
+
+    def place(k, free):
+        if len(free) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(free)
+            return
+        for i in range(len(free)):
+            if free[i] >= sizes[k] and free[i] not in free[:i]:
+                free[i] -= sizes[k]
+                place(k + 1, free)
+                free[i] += sizes[k]
+        place(k + 1, [*free, cap - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_number_of_sequences_against_the_true_minimum():
+    rng = random.Random(12)
+    more = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(2, 14) for _ in range(rng.randint(1, 9))), reverse=True)
+        least = fewest(sizes, 20)
+        found = len(packing.local_search(packing.best_fit(sizes, 20), sizes, 20))
+        assert least <= found <= least + 1
+        more += found > least
+    assert more <= 3
+
+
 def test_two_for_one_exchange_empties_a_sequence():
     sizes = [6, 3, 4, 4, 3]
     better = packing.local_search([[0, 1], [2, 3], [4]], sizes, 10)
