@@ -115,6 +115,30 @@ FROM d LEFT JOIN lists USING (r)
 """
 
 
+_SHARDING = r"""
+WITH RECURSIVE octet AS (
+  SELECT n, list_reduce(list_concat([n::BIGINT], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(n)
+), crc AS (
+  SELECT list(c ORDER BY n) AS c FROM octet
+), d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce('s' || CAST(source AS VARCHAR), '-') AS stratum,
+         md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS token, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda s, x: xor(s // 256, crc.c[xor(s % 256, x) + 1]))) AS text_crc32
+  FROM documents, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY token, doc_id NULLS FIRST, text_crc32, r) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS m FROM d
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * k + 1) / (2 * m)::DOUBLE, token, doc_id NULLS FIRST, text_crc32, r) - 1 AS place, count(*) OVER () AS n FROM ranked
+), dealt AS (
+  SELECT *, (8 * (place + 1) - 1) // n AS shard FROM ordered
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - (shard * n) // 8 AS BIGINT) AS slot,
+       CAST(NULL AS DOUBLE) AS grown_shard, CAST(place AS BIGINT) AS place
+FROM dealt
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator; the others are tested against brute force."""
-    return {"op3_substring_dedup": _SUBSTRING, "op6_decontamination": _DECONTAM, "op7_url_filter": _URL_PARTS}
+    return {"op3_substring_dedup": _SUBSTRING, "op5_sharding": _SHARDING, "op6_decontamination": _DECONTAM, "op7_url_filter": _URL_PARTS}

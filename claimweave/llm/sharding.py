@@ -12,7 +12,9 @@ a slice only.  Slices hold about ``ROWS_PER_BUCKET`` rows however large one sour
 narrow rows; the whole rows, numbered in a written copy, are shuffled once to meet their place.
 
 Edge cases: a null text has size 1 and checksum 0; a null source is a source of its own; ties of the
-hash fall back to the id; repeated rows each get a place of their own; an empty table gives no rows.
+hash fall back to the id, then to the checksum; repeated rows each get a place of their own; a very long
+text is moved once and counts as one row; an empty table gives no rows; extra columns stay, but for the three
+that are set.
 """
 
 from __future__ import annotations
@@ -23,14 +25,20 @@ from pyspark.sql import functions as F
 from .common import durable, row_budget
 
 ROWS_PER_BUCKET = 20_000
+RUN = 1024
 SEED = 20
 PLACEMENT = ["shard", "slot", "place"]
 ROW = "__row"
 
 
 def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    """``before``: rows in the smaller buckets of the same keys.  Two steps, so that a window holds ``RUN`` buckets, or one row a run."""
+    counts = counts.withColumn("run", F.floor(F.col(bucket) / RUN).cast("long"))
+    runs = counts.groupBy(*keys, "run").agg(F.sum("rows").alias("in_run"))
+    earlier = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "run", F.coalesce(F.sum("in_run").over(earlier), F.lit(0)).alias("before_run"))
+    inside = Window.partitionBy(*keys, "run").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("inside", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(runs, [*keys, "run"]).withColumn("before", F.col("before_run") + F.col("inside")).drop("run", "inside", "before_run")
 
 
 def _placed(docs: DataFrame, n: int, n_shards: int, seed: int, rows_per_bucket: int) -> DataFrame:
@@ -42,8 +50,8 @@ def _placed(docs: DataFrame, n: int, n_shards: int, seed: int, rows_per_bucket:
     keyed = docs.select(ROW, "doc_id", stratum.alias("stratum"), token.alias("token"), F.crc32(_bytes()).alias("text_crc32")).withColumn("part", part)
 
     counts = docs.select(stratum.alias("stratum"), token.alias("token")).withColumn("part", part).groupBy("stratum", "part").agg(F.count("*").alias("rows"))
-    totals = Window.partitionBy("stratum")
-    offsets = _offsets(counts, ["stratum"], "part").withColumn("in_stratum", F.sum("rows").over(totals)).drop("rows")
+    totals = counts.groupBy("stratum").agg(F.sum("rows").alias("in_stratum"))
+    offsets = _offsets(counts, ["stratum"], "part").join(totals, "stratum").drop("rows")
     inside = Window.partitionBy("stratum", "part").orderBy("token", "doc_id", "text_crc32", ROW)
     ranked = (
         keyed.join(offsets, ["stratum", "part"])
