@@ -23,10 +23,14 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"\s+", " "))
 
 
+#: One token: a run of letters, digits, ``$`` and ``%`` and the decimals after it, without ``$`` and ``%`` at its ends.
+#: Nothing is left for lambdas to do, so the split stays one call a text.
+TOKEN = r"(?<![$%])[$%]*+((?:[a-z0-9][a-z0-9$%]*|(?<=[$%]))\.[0-9]+|[a-z0-9](?:[a-z0-9$%]*[a-z0-9])?)"
+
+
 def tokens(value: Column) -> Column:
     """Search tokens: commas removed, lower case, letters, digits and decimals, ``$`` and ``%`` stripped."""
-    found = F.regexp_extract_all(F.lower(F.replace(F.coalesce(value, F.lit("")), F.lit(","), F.lit(""))), F.lit(r"([a-z0-9$%]+(?:\.[0-9]+)?)"), 1)
-    return F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("$%"))), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(value, F.lit("")), F.lit(","), F.lit(""))), F.lit(TOKEN), 1)
 
 
 def keywords(value: Column) -> Column:

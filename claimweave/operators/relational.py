@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from ..storage import written
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,25 +24,24 @@ def pending(work: DataFrame, done: DataFrame, keys: Sequence[str], force: bool =
     return work if force else work.join(done.select(*keys).distinct(), list(keys), "left_anti").select(*work.columns)
 
 
-def global_ids(df: DataFrame, order: Sequence[str], name: str = "global_id", slices: int = 64) -> DataFrame:
+def global_ids(df: DataFrame, order: Sequence[str], name: str = "global_id", rows_per_range: int = 1_000_000) -> DataFrame:
     """Dense ids 0..n-1 in the given total order, without one task that numbers everything.
 
-    Rows are range-partitioned and numbered inside their range; the ranges' counts, of which there are at
-    most ``slices``, are summed up to offsets.  The ranges are fixed by a first pass over the order columns.
+    Rows are range-partitioned into ranges of about ``rows_per_range`` and written with the range they fell
+    into; the driver gets one count a range, and rows are numbered inside their range.
     """
-    ranges = df.select(F.struct(*order).alias("o")).repartitionByRange(slices, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.max("o").alias("top"), F.count("*").alias("n"))
-    offsets = ranges.select("top", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    edges = offsets.orderBy("top").collect()  # at most ``slices`` rows
-    if not edges:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    here = F.struct(*order)
-    kinds = df.select(here.alias("o")).schema["o"].dataType
-    tops = df.sparkSession.createDataFrame([(e["top"], e["before"], i) for i, e in enumerate(edges)], StructType([StructField("top", kinds), StructField("before", LongType()), StructField("i", LongType())]))
-    literal = F.broadcast(tops.agg(F.array_sort(F.collect_list(F.struct("top", "before"))).alias("ranges")).withColumn("__one", F.lit(1)))
-    placed = df.withColumns({"__o": here, "__one": F.lit(1)}).join(literal, "__one").drop("__one")
-    mine = placed.withColumn("__range", F.element_at(F.filter("ranges", lambda r: r["top"] >= F.col("__o")), 1)).drop("ranges")
+    n = df.count()
+    ranges = max(1, -(-n // rows_per_range))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted(tuple(r) for r in dealt.groupBy("__range").count().collect())  # one row a range
+    before, at = [], 0
+    for part, rows in counts:
+        before.append((part, at))
+        at += rows
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
     inside = Window.partitionBy("__range").orderBy(*order)
-    return mine.withColumn(name, F.col("__range.before") + F.row_number().over(inside) - 1).drop("__range", "__o")
+    numbered = dealt.withColumn("__n", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "__range")
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__n")).alias(name))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -3,6 +3,8 @@
 Nothing loops over claims.  Claims are the small, stated side of every join: Spark broadcasts them while
 their measured size allows it and shuffles otherwise.  Corpus statistics (document frequencies, mean
 length) always cover the whole corpus; filters are equi-join keys, applied before scores are summed.
+Texts are tokenised once, into a written posting table, from which statistics, scores, common terms and the
+reranker's overlaps are all taken; the join on a frequent term is one that Spark may split.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rewrite, text
+from ..storage import spread, written
 from .relational import first_by
 
 # Ranking parameters.
@@ -31,13 +34,22 @@ def postings(chunks: DataFrame, chunk: str = "chunk_id", body: str = "text", kee
     return words.select(chunk, *keep, "dl", F.explode("terms").alias("term")).groupBy(chunk, *keep, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(index: DataFrame, n_chunks: int) -> tuple[float, float]:
-    """(mean length, mean raw idf) of a corpus: two numbers from one pass over its postings.
+def index_of(chunks: DataFrame, chunk: str = "chunk_id", body: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The posting table of a corpus, tokenised on all cores and written."""
+    return written(postings(spread(chunks.select(chunk, *keep, body)), chunk, body, keep), "postings")
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    """(term, df, total) of a posting table, written: as long as the vocabulary."""
+    return written(index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "terms")
+
+
+def corpus_stats(counts: DataFrame, n_chunks: int) -> tuple[float, float]:
+    """(mean length, mean raw idf) of a corpus from its ``term_counts``.
 
     Rounded, as sums of doubles depend on the order of their terms.
     """
-    terms = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    one = terms.agg(F.sum("total").alias("total"), F.round(F.avg(_raw_idf(n_chunks)), 9).alias("mean")).first()
+    one = counts.agg(F.sum("total").alias("total"), F.round(F.avg(_raw_idf(n_chunks)), 9).alias("mean")).first()
     return (one["total"] or 0) / max(1, n_chunks) or 1.0, one["mean"] or 0.0
 
 
@@ -45,11 +57,15 @@ def _raw_idf(n_chunks: int) -> Column:
     return F.log(F.lit(float(n_chunks)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def term_stats(index: DataFrame, n_chunks: int, mean_idf: float, floor: float = EPSILON) -> DataFrame:
+def term_stats(counts: DataFrame, n_chunks: int, mean_idf: float, floor: float = EPSILON) -> DataFrame:
     """(term, df, idf): Okapi idf; a negative one becomes ``floor`` times the mean over all terms."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     raw = _raw_idf(n_chunks)
-    return df.select("term", "df", F.when(raw < 0, F.lit(floor * mean_idf)).otherwise(raw).alias("idf"))
+    return counts.select("term", "df", F.when(raw < 0, F.lit(floor * mean_idf)).otherwise(raw).alias("idf"))
+
+
+def query_terms(queries: DataFrame, query: str, body: str, on: Sequence[str] = ()) -> DataFrame:
+    """(query, on, term, times)."""
+    return queries.select(query, *on, F.explode(text.tokens(F.col(body))).alias("term")).groupBy(query, *on, "term").agg(F.count("*").alias("times"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, chunk: str = "chunk_id", query: str = "claim_id", body: str = "text", query_body: str = "query", on: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
@@ -58,31 +74,46 @@ def bm25(chunks: DataFrame, queries: DataFrame, chunk: str = "chunk_id", query:
     ``on`` names columns that both sides share and must agree in (the filter); statistics ignore it.
     ``index`` is a written posting table; without one the corpus is tokenised here.
     """
-    index = postings(chunks, chunk, body, on) if index is None else index
-    n = chunks.count()
-    avgdl, mean_idf = corpus_stats(index, n)
-    terms = queries.select(query, *on, F.explode(text.tokens(F.col(query_body))).alias("term")).groupBy(query, *on, "term").agg(F.count("*").alias("times"))
-    stats = term_stats(index, n, mean_idf).join(terms.select("term").distinct(), "term", "left_semi").select("term", "idf")
-    weighted = terms.join(stats, "term")
+    index = index_of(chunks, chunk, body, on) if index is None else index
+    n, counts = chunks.count(), term_counts(index)
+    avgdl, mean_idf = corpus_stats(counts, n)
+    weighted = query_terms(queries, query, query_body, on).join(term_stats(counts, n, mean_idf).select("term", "idf"), "term")
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(avgdl))))
     return index.join(weighted, ["term", *on]).groupBy(query, chunk).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
+def common_terms(index: DataFrame, queries: DataFrame, chunk: str = "chunk_id", query: str = "claim_id", query_body: str = "query") -> DataFrame:
+    """(query, chunk, n): distinct terms that both hold."""
+    asked = query_terms(queries, query, query_body).drop("times")
+    return index.select(chunk, "term").join(asked, "term").groupBy(query, chunk).agg(F.count("*").alias("n"))
+
+
+#: Queries of this many bytes at most are broadcast to the vectors.
+DENSE_BROADCAST = 32 << 20
+
+
 def dense(vectors: DataFrame, queries: DataFrame, chunk: str = "chunk_id", query: str = "claim_id", vector: str = "embedding", on: Sequence[str] = (), block: int = 512) -> DataFrame:
     """(query, chunk, score): inner products of unit vectors, rounded to six places.
 
-    With ``on`` the sides meet in an equi-join.  Without, the queries are a stated set that is cut into
-    blocks; every row meets each block in turn, so a task holds one block at a time.
+    With ``on`` the sides meet in an equi-join.  Without, the queries are a stated set, cut into blocks that
+    every row meets in turn.  Queries of a measured ``DENSE_BROADCAST`` bytes at most are broadcast; larger
+    sets are copied to as many salts as there are shuffle partitions, over which the vectors are dealt.
     """
     dot = F.aggregate(F.zip_with(F.col(vector), F.col("__q"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     asked = queries.select(F.col(query), *on, F.col(vector).alias("__q"))
     if on:
-        pairs = vectors.select(chunk, *on, vector).join(asked, list(on))
+        pairs = spread(vectors.select(chunk, *on, vector)).join(asked, list(on))
     else:
-        blocks = max(1, -(-queries.count() // block))
-        asked = asked.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-        pairs = vectors.select(chunk, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block")).join(asked, "__block")
+        rows, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("__q").cast("long") * 8 + 64), F.lit(0))).first()
+        blocks = max(1, -(-rows // block))
+        small = size <= DENSE_BROADCAST
+        salts = 1 if small else int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = asked.withColumns({"__block": F.pmod(F.xxhash64(query), F.lit(blocks)), "__salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+        dealt = spread(vectors.select(chunk, vector)).withColumns({
+            "__block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "__salt": F.pmod(F.xxhash64(chunk), F.lit(salts)).cast("int"),
+        })
+        pairs = dealt.join(F.broadcast(asked) if small else asked, ["__block", "__salt"])
     return pairs.select(query, chunk, F.round(dot, 6).alias("score"))
 
 
@@ -176,9 +207,24 @@ def lexical_overlap(claim: Column, passage: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.array_intersect(asked, text.tokens(passage))), F.size(asked)), 6), F.lit(0.0))
 
 
-def rerank(candidates: DataFrame, k: Column | int, query: str = "claim_id", chunk: str = "chunk_id", score: Column | None = None) -> DataFrame:
-    """Candidates ordered anew by ``score``; earlier rank breaks ties; at most ``k`` for each query."""
-    scored = candidates.withColumn("rerank_score", lexical_overlap(F.col("rerank_query"), F.col("text")) if score is None else score)
+def overlap(candidates: DataFrame, index: DataFrame, query: str = "path_id", chunk: str = "chunk_id", query_body: str = "rerank_query") -> DataFrame:
+    """(query, chunk, rerank_score): ``lexical_overlap`` of every candidate, from the posting table instead of the texts."""
+    asked = candidates.select(query, query_body).distinct()
+    terms = query_terms(asked, query, query_body).drop("times")
+    sizes = terms.groupBy(query).agg(F.count("*").alias("n_asked"))
+    common = candidates.select(query, chunk).join(terms, query).join(index.select(chunk, "term"), [chunk, "term"]).groupBy(query, chunk).agg(F.count("*").alias("n"))
+    return common.join(sizes, query).select(query, chunk, F.round(F.col("n") / F.col("n_asked"), 6).alias("rerank_score"))
+
+
+def rerank(candidates: DataFrame, k: Column | int, query: str = "claim_id", chunk: str = "chunk_id", score: Column | DataFrame | None = None) -> DataFrame:
+    """Candidates ordered anew by ``score``; earlier rank breaks ties; at most ``k`` for each query.
+
+    ``score``: a column over the candidates, or a table of (query, chunk, rerank_score) in which absent pairs score 0.
+    """
+    if isinstance(score, DataFrame):
+        scored = candidates.join(score, [query, chunk], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
+    else:
+        scored = candidates.withColumn("rerank_score", lexical_overlap(F.col("rerank_query"), F.col("text")) if score is None else score)
     order = Window.partitionBy(query).orderBy(F.desc("rerank_score"), "rank", chunk)
     return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).drop("rank").withColumnRenamed("new_rank", "rank")
 
@@ -187,17 +233,19 @@ def claim_passages(claims: DataFrame, chunks: DataFrame, vectors: DataFrame | No
     """(claim_id, path, rank, chunk_id, score, ...): the passages of every claim, best first, one plan.
 
     ``vectors(chunk_id, ticker, fiscal_year, doc_type, fiscal_period, embedding)`` and
-    ``query_vectors(path_id, embedding)`` add the dense channel.  Texts join only after the pool is cut.
+    ``query_vectors(path_id, embedding)`` add the dense channel.  The reranker's overlaps come from the posting
+    table, so texts join the few passages that remain.
     """
     on = ["ticker", "fiscal_year", "doc_type", "fiscal_period"]
     asked = paths(claims)
-    sparse = bm25(chunks, asked, "chunk_id", "path_id", on=on)
+    index = index_of(chunks, keep=on)
+    sparse = bm25(chunks, asked, "chunk_id", "path_id", on=on, index=index)
     near = None
     if vectors is not None and query_vectors is not None:
         near = dense(vectors, asked.select("path_id", *on).join(query_vectors, "path_id"), "chunk_id", "path_id", on=on)
     pool = max(POOL * TOP_K, MIN_CHANNEL) if use_reranker else max(TOP_K, PATH_K)
-    found = hybrid(near, sparse, pool, "path_id")
-    listed = found.join(asked.select("path_id", "claim_id", "path", "path_k", "rerank_query"), "path_id").join(chunks.select("chunk_id", "text", "is_table", "section"), "chunk_id")
-    best = rerank(listed, F.col("path_k"), "path_id") if use_reranker else listed.where(F.col("rank") <= F.col("path_k"))
+    found = hybrid(near, sparse, pool, "path_id").join(asked.select("path_id", "claim_id", "path", "path_k", "rerank_query"), "path_id")
+    best = rerank(found, F.col("path_k"), "path_id", score=overlap(found, index)) if use_reranker else found.where(F.col("rank") <= F.col("path_k"))
     order = Window.partitionBy("claim_id").orderBy("path", "rank")
-    return dedupe(best).withColumn("rank", F.row_number().over(order)).drop("path_k", "path_id")
+    ranked = dedupe(best).withColumn("rank", F.row_number().over(order)).drop("path_k", "path_id")
+    return ranked.join(chunks.select("chunk_id", "text", "is_table", "section"), "chunk_id")

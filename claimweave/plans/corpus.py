@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..backends import Embedder, HashedEmbedder
 from ..functions.text import embedding_text
 from ..operators.relational import global_ids, pending
-from ..operators.retrieval import corpus_stats, postings, term_stats
+from ..operators.retrieval import corpus_stats, postings, term_counts, term_stats
 from ..sources.filings import chunk_filings
 from ..sources.transcripts import chunk_transcripts
 
@@ -42,8 +42,8 @@ def build(chunks: DataFrame, path: str, corpus: str = "master", embedder: Embedd
         rows = spark.read.parquet(f"{root}/chunks")
         postings(rows, keep=_KEYS).write.mode("overwrite").parquet(f"{root}/postings")
         index = spark.read.parquet(f"{root}/postings")
-        n = rows.count()
-        term_stats(index, n, corpus_stats(index, n)[1]).write.mode("overwrite").parquet(f"{root}/terms")
+        n, counts = rows.count(), term_counts(index)
+        term_stats(counts, n, corpus_stats(counts, n)[1]).write.mode("overwrite").parquet(f"{root}/terms")
         need = {c for c in ("company_name", "section", "filing_date", "report_date", "quarter_period_label", "speaker_name", "speaker_role", "call_date")} - set(rows.columns)
         whole = rows.withColumns({c: F.lit(None).cast("string") for c in need} | ({} if "quarter_months" in rows.columns else {"quarter_months": F.lit(None).cast("array<string>")}))
         whole.select("global_id", "chunk_id", *_KEYS, embedder.embed(embedding_text()).alias("embedding")).write.mode("overwrite").parquet(f"{root}/vectors")

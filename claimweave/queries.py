@@ -17,6 +17,7 @@ from .functions import figures, fiscal, ids, rewrite, similarity, text
 from .operators import golden, metrics, relational, retrieval, sampling
 from .plans import claim_check
 from .sources import filings, jsonl, manifest, transcripts
+from .storage import spread
 from .streaming.ingest import windowed_counts
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,14 +47,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query(f"SELECT doc_id, len(w) AS n_terms, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS terms_md5 FROM (SELECT doc_id, {_TOKENS.format(t='text')} AS w FROM documents)")
 def tokenize_terms(spark, d):
     w = F.col("w")
-    return _read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).select(
+    return spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("w")).select(
         "doc_id", F.size(w).cast("long").alias("n_terms"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.md5(F.array_join(w, " ").cast("binary")).alias("terms_md5")
     )
 
 
 @query(f"SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n_total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def posting_stats(spark, d):
-    return retrieval.postings(_read(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_total"))
+    return retrieval.postings(spread(_read(spark, d, "documents").select("doc_id", "text")), "doc_id").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_total"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -72,7 +73,7 @@ def normalized_text(spark, d):
 def _facts(spark, d):
     """Claim-like sentences from orders, each with the numbers it was made of."""
     amount, share, count = F.round(F.col("o_totalprice") / 10000, 1), F.pmod("o_custkey", F.lit(97)) + 1, F.pmod("o_orderkey", F.lit(89)) + 1
-    return _read(spark, d, "orders").select(
+    return spread(_read(spark, d, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", amount.alias("amount"), share.cast("int").alias("share"), count.cast("int").alias("cnt"),
         F.format_string("%.1f", amount).alias("shown"),
     )
@@ -231,11 +232,6 @@ def dense_filtered(spark, d):
     return best.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _common_terms(docs, claims):
-    terms = claims.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-    return retrieval.postings(docs, "doc_id").join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-
-
 @query(f"""WITH {_PLAIN} {_bm25_sql('docs', 'qs')},
 common AS (SELECT q, d.c AS c, count(*)::DOUBLE AS score FROM qt JOIN tf d ON qt.term = d.term GROUP BY q, d.c),
 r0 AS (SELECT q, c, 0 AS channel, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM common) WHERE rank <= 20),
@@ -244,7 +240,9 @@ f AS (SELECT q, c, round(sum(1.0 / (60 + rank)), 9) AS score, min(channel * 1000
 SELECT q AS item_id, c AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen, c) AS rank FROM f) WHERE rank <= 10""")
 def rrf_hybrid(spark, d):
     docs, claims = _read(spark, d, "documents"), _read(spark, d, "benchmark").withColumnRenamed("text", "query")
-    best = retrieval.hybrid(_common_terms(docs, claims), retrieval.bm25(docs, claims, "doc_id", "item_id"), 10, "item_id", "doc_id")
+    index = retrieval.index_of(docs, "doc_id")
+    common = retrieval.common_terms(index, claims, "doc_id", "item_id").withColumnRenamed("n", "score")
+    best = retrieval.hybrid(common, retrieval.bm25(docs, claims, "doc_id", "item_id", index=index), 10, "item_id", "doc_id")
     return best.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -293,7 +291,7 @@ def dual_path_retrieve(spark, d):
 def rerank_overlap(spark, d):
     claims = _read(spark, d, "benchmark").withColumnRenamed("text", "claim")
     n = claims.agg(F.max("item_id") + 1).first()[0]
-    pairs = _read(spark, d, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(n))).join(claims, "item_id")
+    pairs = spread(_read(spark, d, "documents")).withColumn("item_id", F.pmod("doc_id", F.lit(n))).join(claims, "item_id")
     return pairs.select("item_id", "doc_id", retrieval.lexical_overlap(F.col("claim"), F.col("text")).alias("overlap"))
 
 
@@ -469,12 +467,12 @@ def consecutive_dedupe(spark, d):
 
 @query()
 def html_blocks(spark, d):
-    return filings.html_blocks(_read(spark, d, "pages"), ["page_id"])
+    return filings.html_blocks(spread(_read(spark, d, "pages")), ["page_id"])
 
 
 @query()
 def filing_chunks(spark, d):
-    return filings.filing_chunks(_read(spark, d, "pages"), ["page_id"])
+    return filings.filing_chunks(spread(_read(spark, d, "pages")), ["page_id"])
 
 
 # ---------------------------------------------------------------- keyed tables

@@ -179,7 +179,7 @@ def test_keyed_tables(spark):
     assert len(after) == 201 and after[3] == after[999] == "new" and after[4] == "old"
     assert relational.delete_ids(now, change, "id").count() == 199
     assert relational.pending(now, change, ["id"]).count() == 199 and relational.pending(now, change, ["id"], force=True).count() == 200
-    numbered = relational.global_ids(now.repartition(7), ["id"], slices=5).collect()
+    numbered = relational.global_ids(now.repartition(7), ["id"], rows_per_range=3).collect()
     assert all(r.id == r.global_id for r in numbered) and len(numbered) == 200
     assert relational.global_ids(now.limit(0), ["id"]).collect() == []
 
