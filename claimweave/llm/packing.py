@@ -1,17 +1,16 @@
 """Best-fit packing of tokenised documents, improved by swap-based local search.
 
 Every document becomes its token ids and a closing id 0.  One longer than a sequence is cut so that
-only its first piece can be shorter.  Pieces are dealt into groups of about ``GROUP`` pieces; a group
+only its first piece can be shorter.  The pieces that a task meets form groups of about ``GROUP``; a group
 is packed best-fit decreasing, then searched locally: pieces of the emptiest sequence are moved
 into others, or one or two of them are exchanged for one smaller piece, whenever that raises the sum of
 squared fills, until sequences run empty.  The search ends at a proven lower bound or where no step is left;
 all pieces and all pairs are weighed.
 
-Scale: texts are tokenised where they are read; the pieces with their ids are shuffled once and come out
-with their place.  A piece that fills a sequence streams through its group; only the others, at most one a
-document, are held there.  The number of groups follows the row count, so a group's memory is bounded;
-what grouping can cost is one partly filled sequence a group.  Groups are dealt round-robin inside a
-task, whatever the ids or lengths, so no value of any column can make a group large.
+Scale: texts are tokenised and packed where they are read; nothing is shuffled.  A piece that fills a sequence
+passes through; the others, at most one a document, are held until their group is full, 64 MB at most
+whatever the documents' lengths.  What grouping can cost is one partly filled sequence a group, and splits of
+fewer rows than a group are merged first.  No value of any column can make a group large.
 
 Tokens: ``tiktoken`` with the same vocabulary and merges as the ``tokenizers`` file, which gives equal ids
 (tested) in a quarter of the time.  Stretches between single spaces are tokenised once per worker and
@@ -34,17 +33,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import map_batches, row_budget
 
 LENGTH = 2048
-GROUP = 16_384
+GROUP = 8192
 MEMO = 200_000
-#: Ids of the sequences that one piece fills start here; groups have theirs below.
-FULL = 1 << 62
+#: Rows of a batch that leaves a worker.
+ROWS = 1024
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
 
@@ -117,36 +115,6 @@ def cut(ids: bytes, length: int = LENGTH) -> list[tuple[int, bytes]]:
     return [(a, ids[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def _ids_array(ids: list[bytes]) -> pa.ListArray:
-    """A list<int> array of little-endian 32-bit ids."""
-    edges = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-
-
-def pieces(docs: DataFrame, groups: int, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
-    """Every piece with its ids; one that fills a sequence has that sequence's id already, the others a group."""
-    path = ranks_path or default_ranks()
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
-        part = TaskContext.get().partitionId()
-        deal, alone = (part * 7919) % groups, FULL + (part << 40)
-        for batch in (b.slice(s, 512) for b in batches for s in range(0, b.num_rows, 512)):
-            out, all_ids = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (start, ids) in enumerate(cut(tokens.encode(text or "") + b"\0\0\0\0", length)):
-                    full = len(ids) == 4 * length
-                    out.append((doc, k, start, len(ids) // 4, alone if full else None, deal))
-                    all_ids.append(ids)
-                    alone += full
-                    deal = (deal + 1) % groups
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, _ids_array(all_ids)], ["doc_id", "piece", "start", "length", "sequence_id", "grp", "ids"])
-
-    return map_batches(docs, ["doc_id", "text"], body, "doc_id long, piece int, start long, length long, sequence_id long, grp long, ids array<int>")
-
-
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best-fit of ``sizes`` in the given order (descending is best); indices by sequence."""
     bins: list[list[int]] = []
@@ -278,53 +246,69 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     return [b for b in search.bins if b]
 
 
-def _checked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """With the checksum of each row's ids."""
-    ids = batch.column("ids")
-    edges, values = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy()).cast("B")
-    sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return batch.append_column("ids_crc32", pa.array(sums, pa.int64()))
-
-
-def _placed(rows, sequence_id: pa.Array, offset: np.ndarray):
-    columns = {name: rows.column(name) for name in rows.schema.names} | {"sequence_id": sequence_id, "offset": pa.array(offset, pa.int64())}
-    return type(rows).from_arrays([columns[name] for name in COLUMNS], COLUMNS)
-
-
-def pack_group(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """Sequence and place of every piece of one group; the input order does not matter."""
-    held = []
-    for batch in batches:
-        batch = _checked(batch)
-        full = batch.column("sequence_id").is_valid()
-        whole = batch.filter(full)
-        if whole.num_rows:
-            yield _placed(whole, whole.column("sequence_id"), np.zeros(whole.num_rows, np.int64))
-        if whole.num_rows < batch.num_rows:
-            held.append(batch.filter(pc.invert(full)))
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    order = pc.sort_indices(rows.drop_columns(["ids"]), sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
-    sizes = rows.column("length").to_numpy()[order].tolist()
-    bins = local_search(best_fit(sizes, capacity), sizes, capacity)
-    seq, off = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    first = rows.column("grp")[0].as_py() << 32
-    for b, items in enumerate(bins):
-        at = 0
-        for k in items:
-            seq[order[k]], off[order[k]] = first + b, at
-            at += sizes[k]
-    yield from _placed(rows, pa.array(seq), off).to_batches()
+class _Packer:
+    """Packs the pieces of one task, group by group.
+
+    A piece that fills a sequence passes through; the others are held until there are ``group`` of them.
+    """
+
+    def __init__(self, length: int, group: int, first_id: int):
+        self.length, self.group, self.next_id = length, group, first_id
+        self.held: list[tuple] = []  # doc_id, piece, start, ids
+        self.out: list[tuple] = []  # the same, sequence_id, offset
+
+    def add(self, doc: int | None, ids: bytes) -> None:
+        for k, (start, part) in enumerate(cut(ids, self.length)):
+            if len(part) == 4 * self.length:
+                self.out.append((doc, k, start, part, self.next_id, 0))
+                self.next_id += 1
+            else:
+                self.held.append((doc, k, start, part))
+        if len(self.held) >= self.group:
+            self.close()
+
+    def close(self) -> None:
+        """Places all that is held."""
+        order = sorted(self.held, key=lambda p: (-len(p[3]), p[0] is None, p[0] or 0, p[1], zlib.crc32(p[3])))
+        sizes = [len(p[3]) // 4 for p in order]
+        for items in local_search(best_fit(sizes, self.length), sizes, self.length):
+            at = 0
+            for k in items:
+                self.out.append((*order[k], self.next_id, at))
+                at += sizes[k]
+            self.next_id += 1
+        self.held = []
+
+    def ready(self) -> Iterator[pa.RecordBatch]:
+        """What is placed, in batches of a bounded size."""
+        for s in range(0, len(self.out), ROWS):
+            yield _batch(self.out[s : s + ROWS])
+        self.out = []
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    doc, piece, start, ids, sequence, offset = zip(*rows, strict=True)
+    sizes = [len(x) // 4 for x in ids]
+    edges = np.cumsum([0, *sizes], dtype=np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()),
+        pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+    ], COLUMNS)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the token ids of every piece."""
-    groups = row_budget(docs.count(), group)
+    path = ranks_path or default_ranks()
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from pack_group(batches, length)
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens(path)
+        packer = _Packer(length, group, TaskContext.get().partitionId() << 40)
+        for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packer.add(doc, tokens.encode(text or "") + b"\0\0\0\0")
+            yield from packer.ready()
+        packer.close()
+        yield from packer.ready()
 
-    # As many partitions as groups at least, so that a task's share of the ids does not grow with the corpus.
-    parts = max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return pieces(docs, groups, length, ranks_path).repartition(parts, "grp").groupBy("grp").applyInArrow(one, SCHEMA)
+    # Tasks of fewer documents than a group are merged, so that their last, open groups cost no more than the others.
+    return map_batches(docs.coalesce(row_budget(docs.count(), group)), ["doc_id", "text"], body, SCHEMA)
