@@ -216,4 +216,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     windows = _windows(benchmark, window)
     hits = _distinct_hits(_seen(docs, benchmark, windows, window, k, bits, all_rows=False))
     gone = join_apart(hits.select("key", "win"), windows.select("win").distinct(), "win", "left_semi").select(F.col("key").alias(KEY)).distinct()
+    gone = durable(gone, "contaminated")  # so that Spark knows its size and moves no texts where it is small enough to broadcast
     return join_apart(docs.withColumn(KEY, F.md5(F.col("text").cast("binary"))), gone, KEY, "left_anti").drop(KEY)

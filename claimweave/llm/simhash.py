@@ -270,7 +270,8 @@ def keep_one_of_each(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     judged = durable(rows.join(groups, "fp"), "components")
     plain = judged.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
-        gone = judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        # Written, so that Spark knows its size and moves no texts where it is small enough to broadcast.
+        gone = durable(judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     fp, root, least = "__fingerprint", "__root", "__least"
     labels = judged.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)).distinct()
