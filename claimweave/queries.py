@@ -515,10 +515,41 @@ def windowed_events(spark, d):
 # ---------------------------------------------------------------- model steps (local defaults)
 
 
-@query()
+_CORRUPTIBLE = f"""{_FACTS}, worded AS (
+  SELECT o_orderkey, amount, CASE o_orderkey % 4 WHEN 0 THEN 'Sales of $' || shown || ' million rose ' || share || '% in 2024 across ' || cnt || ' stores, against $3.5 billion'
+   WHEN 1 THEN 'Costs went up ' || cnt || '% while the gross margin of the whole company over the period came to ' || share || '%'
+   WHEN 2 THEN 'Orders numbered ' || cnt || ',' || printf('%03d', share) || '.50 and returns ' || cnt
+   ELSE 'No figure is given here' END AS claim,
+  CASE o_orderkey % 4 WHEN 0 THEN shown WHEN 1 THEN share::VARCHAR WHEN 2 THEN cnt || ',' || printf('%03d', share) || '.50' END AS raw FROM facts
+), valued AS (
+  SELECT *, replace(raw, ',', '')::DOUBLE AS v, [0.88, 0.92, 1.08, 1.12][('0x' || sha256(o_orderkey || '|' || claim || '|' || raw)[1:8])::BIGINT % 4 + 1]::DOUBLE AS f, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS digits FROM worded
+), stepped AS (
+  SELECT *, CASE WHEN o_orderkey % 4 = 1 AND abs(v * f - v) < 0.3 THEN v + 1.2 * sign(f - 1) ELSE v * f END AS w, v + sign(f - 1) * power(10, -digits) AS one FROM valued
+), shown AS (
+  SELECT *, CASE digits WHEN 0 THEN printf('%.0f', w) WHEN 1 THEN printf('%.1f', w) ELSE printf('%.2f', w) END AS t, CASE digits WHEN 0 THEN printf('%.0f', one) WHEN 1 THEN printf('%.1f', one) ELSE printf('%.2f', one) END AS u FROM stepped
+), made AS (
+  SELECT *, CASE WHEN t::DOUBLE <> v THEN t ELSE u END AS x FROM shown
+), corrupt AS (
+  SELECT o_orderkey, claim, CASE o_orderkey % 4 WHEN 0 THEN replace(claim, '$' || raw || ' million', '$' || x || ' million') WHEN 1 THEN claim[:len(claim) - len(raw) - 1] || x || '%'
+   WHEN 2 THEN 'Orders numbered ' || CASE WHEN x::DOUBLE >= 1000 THEN regexp_replace(x, '([0-9]{{3}}[.])', ',\\1') ELSE x END || claim[len('Orders numbered ' || raw) + 1:] END AS corrupted FROM made
+)"""
+
+
+def _corruptible(spark, d):
+    """Four wordings: a money figure among others, a share without growth words, a number with separators, none."""
+    share, cnt = F.col("share").cast("string"), F.col("cnt").cast("string")
+    words = (
+        F.concat(F.lit("Sales of $"), "shown", F.lit(" million rose "), share, F.lit("% in 2024 across "), cnt, F.lit(" stores, against $3.5 billion")),
+        F.concat(F.lit("Costs went up "), cnt, F.lit("% while the gross margin of the whole company over the period came to "), share, F.lit("%")),
+        F.concat(F.lit("Orders numbered "), cnt, F.lit(","), F.format_string("%03d", "share"), F.lit(".50 and returns "), cnt),
+    )
+    kind = F.pmod("o_orderkey", F.lit(4))
+    return _facts(spark, d).withColumn("claim", F.when(kind == 0, words[0]).when(kind == 1, words[1]).when(kind == 2, words[2]).otherwise("No figure is given here"))
+
+
+@query(f"WITH {_CORRUPTIBLE} SELECT o_orderkey, claim, corrupted FROM corrupt")
 def number_corruption(spark, d):
-    rows = _figured(spark, d)
-    return rows.select("o_orderkey", "claim", golden.corrupt(F.col("claim"), F.col("o_orderkey").cast("string")).alias("corrupted"))
+    return _corruptible(spark, d).select("o_orderkey", "claim", golden.corrupt(F.col("claim"), F.col("o_orderkey").cast("string")).alias("corrupted"))
 
 
 @query()

@@ -128,13 +128,20 @@ def test_sample_takes_quotas_and_is_stable(spark):
     assert sampling.mini_sample(df, full=True).count() == 8
 
 
-def test_corruption_changes_one_figure():
-    for claim in ("Revenue of $65.6 billion was up 4%", "EPS of $0.02", "margin of 46.2%", "We sold 1,234,567 units", "grew 1%"):
-        out = golden.corrupted(claim, "s")
-        assert out != claim and out == golden.corrupted(claim, "s")
-        assert [w for w in out.split() if not any(c.isdigit() for c in w)] == [w for w in claim.split() if not any(c.isdigit() for c in w)]
-    assert "up 4%" in golden.corrupted("Revenue of $65.6 billion was up 4%", "s")
-    assert golden.corrupted("no number") is golden.corrupted("$0 left") is golden.corrupted(None) is None
+def test_corruption_changes_one_figure(spark):
+    claims = ["Revenue of $65.6 billion was up 4%", "EPS of $0.02", "margin of 46.2%", "We sold 1,234,567 units", "grew 1%", "no number", "$0 left", None, "1 then 2", "of 12% up 30%", "a 5bn loan and $7"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(claims)], "i int, claim string")
+    out = {r.claim: r.out for r in rows.select("claim", golden.corrupt(F.col("claim"), F.lit("s")).alias("out")).collect()}
+    for claim in claims[:5]:
+        assert out[claim] != claim
+        assert [w for w in out[claim].split() if not any(c.isdigit() for c in w)] == [w for w in claim.split() if not any(c.isdigit() for c in w)]
+    assert out[claims[0]].endswith("billion was up 4%") and out[claims[0]].split()[2] in {"$57.7", "$60.4", "$70.8", "$73.5"}
+    assert out["EPS of $0.02"] in ("EPS of $0.14", "EPS of $-0.10")
+    assert out["We sold 1,234,567 units"].split()[2] in {"1,086,419", "1,135,802", "1,333,332", "1,382,715"}
+    assert out["no number"] is out["$0 left"] is out[None] is None
+    assert out["1 then 2"] in ("0 then 2", "2 then 2")
+    assert out["of 12% up 30%"].endswith("% up 30%") or out["of 12% up 30%"].startswith("of 12%")
+    assert out["a 5bn loan and $7"].startswith("a 5bn loan and $")
 
 
 def test_golden_set_slots_and_promotion(spark):
