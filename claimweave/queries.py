@@ -444,20 +444,56 @@ def identifiers(spark, d):
 # ---------------------------------------------------------------- calls and pages
 
 
+_HEAD = "Date\nQ1 2025\n\nCall participants\nChief Financial Officer — Jane Doe\n\nIndustry glossary\nARPU: The revenue of a user\nCloud Unit: Total of two lines\n\nFull Conference Call Transcript\n"
+
+
 def _calls(spark, d):
-    """Each conversation as a call: a line with the speaker, then what was said."""
+    """Each conversation as a call with a preamble; speaker lines take four forms in turn."""
     name = F.when(F.col("role") == "user", "Jane Doe").when(F.col("role") == "assistant", "John Roe").otherwise("Operator")
-    rows = _read(spark, d, "conversations").withColumn("said", F.concat(name, F.lit(":\n"), F.regexp_replace("text", r"\s+", " ")))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda x: x["said"]), "\n")
-    return rows.groupBy("conv_id").agg(lines.alias("text"))
+    title = F.when(F.col("role") == "user", "Chief Financial Officer").otherwise("Director, Sales")
+    said = F.trim(F.regexp_replace("text", r"\s+", " "))
+    form = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    line = (
+        F.when((form == 1) & (name != "Operator"), F.concat(name, F.lit(" -- "), title, F.lit("\n"), said))
+        .when((form == 2) & (name != "Operator"), F.concat(F.upper(name), F.lit(": Thank you. "), said))
+        .when(form == 3, F.concat(name, F.lit("\n\n"), said)).otherwise(F.concat(name, F.lit(":\r\n"), said))
+    )
+    rows = _read(spark, d, "conversations").withColumn("line", line)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("conv_id").agg(F.concat(F.lit(_HEAD), lines).alias("text"))
 
 
 @query("""WITH s AS (
-  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Jane Doe' WHEN 'assistant' THEN 'John Roe' ELSE 'Operator' END AS speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations
+  SELECT conv_id, turn, role, (conv_id + turn) % 4 AS form, CASE role WHEN 'user' THEN 'Jane Doe' WHEN 'assistant' THEN 'John Roe' ELSE 'Operator' END AS speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM conversations
+), t AS (
+  SELECT *, CASE WHEN form = 2 AND speaker <> 'Operator' THEN trim('Thank you. ' || said) ELSE said END AS text, max(CASE WHEN form = 1 AND role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS known FROM s
 )
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS turn, speaker, text FROM s QUALIFY text <> '' OR true""")
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS turn, speaker, text, CASE WHEN role = 'user' THEN 'Chief Financial Officer' WHEN role = 'assistant' AND known = 1 THEN 'Director, Sales' END AS role FROM t WHERE text <> ''""")
 def speaker_turns(spark, d):
-    return transcripts.turns(_calls(spark, d), ["conv_id"]).select("conv_id", F.col("turn").cast("long").alias("turn"), "speaker", "text")
+    calls = _calls(spark, d)
+    made = transcripts.with_roles(transcripts.turns(calls, ["conv_id"]), transcripts.roster(transcripts.lines_of(calls, ["conv_id"]), ["conv_id"]), ["conv_id"])
+    return made.select("conv_id", F.col("turn").cast("long").alias("turn"), "speaker", "text", "role")
+
+
+_LINES = [
+    ("Tim Cook -- Chief Executive Officer", "Tim Cook", "", "Chief Executive Officer"), ("Operator", "Operator", "", None), ("Operator: Good day", "Operator", "Good day", None),
+    ("TIM COOK: hello there", "Tim Cook", "hello there", None), ("Jane Doe: Today we", "Jane Doe", "Today we", None), ("Brian T. Olsavsky", "Brian T. Olsavsky", "", None),
+    ("C.J. Smith: hi", "C.J. Smith", "hi", None), ("Ann Lee - Analyst, Big Bank", "Ann Lee", "", "Analyst, Big Bank"), ("Sundar  Pichai", "Sundar Pichai", "", None),
+    ("Jane Doe: The plan is", None, None, None), ("AI: The study of machines", None, None, None), ("TPU: Tensor unit", None, None, None), ("Optimus: a robot", None, None, None), ("Bob: ok", None, None, None),
+    ("Thank You", None, None, None), ("Chief Executive Officer: hello", None, None, None), ("Revenue rose -- we said", None, None, None), ("GOOG", None, None, None), ("Sales grew.", None, None, None), ("tariff-related: yes", None, None, None),
+]
+
+
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(f"""WITH forms(k, line, speaker, rest, title) AS (VALUES {', '.join(f"({i}, {', '.join(map(_text, row))})" for i, row in enumerate(_LINES))})
+SELECT event_id, line, speaker, rest, title FROM events JOIN forms ON event_id % {len(_LINES)} = k""")
+def speaker_lines(spark, d):
+    forms = spark.createDataFrame([(i, row[0]) for i, row in enumerate(_LINES)], "k int, line string")
+    rows = _read(spark, d, "events").select("event_id", F.pmod("event_id", F.lit(len(_LINES))).cast("int").alias("k")).join(F.broadcast(forms), "k")
+    return rows.select("event_id", "line", transcripts.speaker_of(F.col("line")).alias("s")).select("event_id", "line", "s.*")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations) WHERE before IS DISTINCT FROM role")
