@@ -60,6 +60,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def finished(result: DataFrame, *read: DataFrame) -> DataFrame:
+    """``result``, a written table, once the written tables that only it ``read`` are deleted.
+
+    The shuffle files behind it go too: Spark removes them when the driver's garbage collector finds their plan
+    unused, so the collector is run here rather than at some later time.
+    """
+    for df in read:
+        discard(df)
+    result.sparkSession._jvm.System.gc()
+    return result
+
+
 def join_apart(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` to a summary with one row for each ``key``, in exchanges that AQE may split.
 

@@ -16,6 +16,7 @@ Scale: hashes are aggregated with map-side combining and joined to one row per k
 third of all documents holds is a skewed side that AQE may split, never a group in one task.  Rows meet
 their spans by id and text hash together, so rows without an id, or with one id, are no hot key.  Texts move
 once for the cut, those that share something once more before; no pairs of documents are ever formed.
+Every step is written and what it read is deleted, so the disk holds one step at a time.
 Windows are told apart by 96 bits of two seeds and not compared word for word: over 10^13 windows the
 expected number of false matches is under 0.001.  Two texts of one id are told apart by 64 bits.
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, map_batches
+from .common import durable, finished, map_batches
 
 WINDOW = 50
 K = 12
@@ -207,20 +208,23 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
     anchors = durable(_anchors(rows, window, k), "anchors")
     common = anchors.groupBy("a").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("a")
-    places = (
+    places = durable(
         _join_apart(anchors, common, ["a"], "left_semi")
         .groupBy("id", "raw").agg(F.collect_set("pos").alias("places"))  # no longer than the document
-        .join(copies.select("id", "raw"), ["id", "raw"], "left_anti")
+        .join(copies.select("id", "raw"), ["id", "raw"], "left_anti"),
+        "places",
     )
+    places = finished(places, anchors)
     shared = _join_apart(rows, places, ["id", "raw"]).select("id", "raw", "text", "places")
-    windows = durable(_windows(shared, window, k), "windows")
-    discard(anchors)
+    windows = finished(durable(_windows(shared, window, k), "windows"), places)
     earliest = windows.groupBy("w", "v").agg(F.min("id").alias("least"))
-    some = (
+    some = durable(
         _join_apart(windows, earliest, ["w", "v"]).where(F.col("least") < F.col("id"))
         .groupBy("id", "raw").agg(F.collect_set("pos").alias("starts"))
-        .select("id", "raw", F.lit(False).alias("whole"), "starts")
+        .select("id", "raw", F.lit(False).alias("whole"), "starts"),
+        "spans",
     )
+    some = finished(some, windows)
     whole = copies.where(F.col("n_words") >= window).select("id", "raw", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
     # Copies have no windows, so a row is in one of the two at most.
     cut = _cut(_join_apart(rows, some.unionByName(whole), ["id", "raw"], "left"), window)
