@@ -1,7 +1,7 @@
 """Filing HTML to typed blocks and section-aware chunks.
 
 Blocks come from one pass of the standard library's HTML reader; the chunker walks a document's blocks
-once.  Both are generators inside ``mapInPandas``: a document is the unit of parallelism, nothing is shuffled.
+once.  Both are generators inside ``mapInArrow``: a document is the unit of parallelism, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import ids
 
@@ -29,13 +32,15 @@ ITEM = re.compile(r"^item\s+\d+[a-z]?\.?\s*", re.I)
 PART = re.compile(r"^part\s+[ivx]+\b", re.I)
 NOTE = re.compile(r"^Note\s+\d+\b", re.I)
 CHROME = re.compile(r"Form\s+10-[QK]\s*\|\s*\d+|\|\s*Q[1-4]\s+20\d{2}\s+Form\s+10-[QK]", re.I)
+PIPED = re.compile(r"[A-Za-z0-9 .,&'\-]+\s*\|\s*.+\|\s*\d+")
+CAPTION_START, CAPTION_PARTS = "the following table", ("(in millions", "(dollars in")
+CAMEL = re.compile(r"[a-z]+[A-Z]")
 FOOTER = re.compile(r"^(\(\d+\)|\*+|†|‡|Note:|Includes\b|Total\b.+\binclude)", re.I)
 ALIGN = re.compile(r"text-align\s*:\s*([a-z]+)", re.I)
 BOLD = re.compile(r"font-weight\s*:\s*(bold|[6-9]00)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 BLOCK_TAGS = frozenset("p div li h1 h2 h3 h4 h5 tr br".split())
-NO_SPACE_BEFORE = re.compile(r"\s+([.,;:)\]}%])")
-NO_SPACE_AFTER = re.compile(r"([(\[{$])\s+")
+NO_SPACE_BEFORE, NO_SPACE_AFTER = frozenset(".,;:)]}%"), frozenset("([{$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript".split())
 
@@ -44,8 +49,22 @@ CHUNKS = "pos int, is_table boolean, section string, subsection string, subsubse
 
 
 def tidy(text: str) -> str:
-    text = " ".join(text.replace("\xa0", " ").split())
-    return NO_SPACE_AFTER.sub(r"\1", NO_SPACE_BEFORE.sub(r"\1", text))
+    return " ".join(text.replace("\xa0", " ").split())
+
+
+def joined(nodes: list[str]) -> str:
+    """Text nodes as one text.  Where two meet without white space, letters and digits stay one word; other
+    neighbours get a space, unless a bracket, a dollar sign or punctuation holds them together."""
+    out: list[str] = []
+    last = ""
+    for node in nodes:
+        if last and node and not last[-1].isspace() and not node[0].isspace():
+            a, b = last[-1], node[0]
+            if not (a.isalnum() and b.isalnum()) and a not in NO_SPACE_AFTER and b not in NO_SPACE_BEFORE:
+                out.append(" ")
+        out.append(node)
+        last = node or last
+    return tidy("".join(out))
 
 
 @dataclass
@@ -82,20 +101,22 @@ class _Reader(HTMLParser):
             self.blocks.append(Block(kind, text, align, bold))
 
     def flush(self) -> None:
-        self._add("text", tidy("".join(self.text)), self.align, self.bold)
+        self._add("text", joined(self.text), self.align, self.bold)
         self.text, self.bold, self.align = [], False, None
 
     def _end_cell(self) -> None:
         if self.cell is not None:
-            self.tables[-1][-1].append(tidy("".join(self.cell)))
+            self.tables[-1][-1].append(joined(self.cell))
             self.cell = None
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
         style = given.get("style") or ""
         up = self.open[-1] if self.open else ("", False, False, None)
-        align = m[1].lower() if (m := ALIGN.search(style)) else (given.get("align") or "").lower() or up[3]
-        bold = up[2] or tag in ("b", "strong") or BOLD.search(style) is not None
+        own = m[1].lower() if (m := ALIGN.search(style)) else (given.get("align") or "").strip().lower() or None
+        strong = tag in ("b", "strong") or BOLD.search(style) is not None
+        # A block has its own alignment and weight; only what is inside it hands weight on.
+        align, bold = (own, strong) if tag in BLOCK_TAGS - {"br"} else (up[3], up[2] or strong)
         state = (tag, up[1] or tag in SKIPPED or HIDDEN.search(style) is not None, bold, align)
         if not state[1]:
             if tag == "table":
@@ -171,22 +192,32 @@ def blocks_of(html: str | None) -> list[Block]:
 
 def section_title(text: str) -> str | None:
     """The header's text if it opens an Item or a Part."""
-    head = re.sub(r"^[^A-Za-z]{1,6}", "", text)
+    head = re.sub(r"^[\W\d_]{0,6}", "", text)
     return head[:160] if len(text) <= MAX_HEADER and (ITEM.match(head) or PART.match(head)) else None
 
 
+def is_chrome(text: str) -> bool:
+    """Running heads and feet of pages."""
+    return CHROME.search(text) is not None or PIPED.fullmatch(text) is not None
+
+
 def is_subsection(block: Block) -> bool:
     text = block.text
-    if len(text) > MAX_SUBSECTION or text.endswith(":") or section_title(text) or CHROME.search(text):
+    if len(text) > MAX_SUBSECTION or text.endswith(":") or section_title(text) or is_chrome(text):
         return False
-    return block.align == "right" or block.bold and block.align in (None, "", "left", "justify") and not text.endswith(".")
+    return block.align == "right" or block.bold and block.align in (None, "left", "justify") and not text.endswith(".")
 
 
 def is_footer(text: str) -> bool:
-    if len(text) > MAX_FOOTER:
+    if not text or len(text) > MAX_FOOTER or section_title(text) or is_chrome(text) or CAMEL.match(text):
         return False
-    camel = len(text) > 1 and text[1].isupper()
-    return FOOTER.match(text) is not None or text[:1].islower() and len(text) <= 200 and not camel
+    return FOOTER.match(text) is not None or re.match("[a-z]", text) is not None and len(text) <= 200
+
+
+def is_caption(block: Block) -> bool:
+    """A block that titles a table wherever it stands among the lines before it."""
+    low = block.text.lower()
+    return block.bold or low.endswith(":") or low.startswith(CAPTION_START) or any(x in low for x in CAPTION_PARTS)
 
 
 def split_long(text: str, limit: int = MAX_TEXT) -> list[str]:
@@ -211,10 +242,11 @@ class Chunker:
     preface: list[Block] = field(default_factory=list)
     out: list[list] = field(default_factory=list)
     after_table: bool = False
-    footer_room: int = 0
+    footers: list[str] = field(default_factory=list)
 
-    def emit(self, is_table: bool, text: str) -> None:
-        titles = [t for t in self.levels if t and t not in text]
+    def emit(self, is_table: bool, text: str, beside: str | None = None) -> None:
+        """Adds a chunk under the titles that ``beside`` (default: the text) doesn't hold yet."""
+        titles = [t for t in self.levels if t and t not in (text if beside is None else beside)]
         self.out.append([is_table, self.section, *self.levels, "\n\n".join([*titles, text])])
 
     def flush(self) -> None:
@@ -227,7 +259,7 @@ class Chunker:
     def settle(self, keep: int = 0) -> None:
         """Preface blocks become prose, page chrome aside."""
         cut = len(self.preface) - keep
-        self.prose += [b.text for b in self.preface[:cut] if not CHROME.search(b.text)]
+        self.prose += [b.text for b in self.preface[:cut] if not is_chrome(b.text)]
         self.preface = self.preface[cut:]
 
     def title(self, text: str) -> None:
@@ -238,41 +270,47 @@ class Chunker:
         else:
             self.levels = [text, None]
 
-    def caption(self) -> int:
-        """How many blocks at the end of the preface belong to the table that follows."""
-        n = 0
-        for b in reversed(self.preface):
-            if b.align != "center" or CHROME.search(b.text):
-                break
-            n += 1
-        if n:
-            return n
-        total = 0
-        for b in reversed(self.preface):
-            total += len(b.text) + 2 * bool(n)
-            if total > MAX_CAPTION or CHROME.search(b.text) or not (b.text.endswith(":") or len(b.text) <= MAX_SUBSECTION):
-                break
-            n += 1
-        return n
+    def caption(self) -> list[str]:
+        """Takes the lines that belong to the table that follows off the preface.
+
+        All centred lines at its end; without any, captions of at most ``MAX_CAPTION`` characters together, or
+        one short plain line.  Page chrome among them is dropped.
+        """
+        lines: list[str] = []
+        while self.preface and self.preface[-1].align == "center":
+            lines.append(self.preface.pop().text)
+        lines = [x for x in lines if not is_chrome(x)]
+        if lines:
+            return lines[::-1]
+        room = MAX_CAPTION
+        while self.preface:
+            block = self.preface[-1]
+            if not is_chrome(block.text):
+                need = len(block.text) + 2 * bool(lines)
+                fits = is_caption(block) or not lines and len(block.text) <= MAX_SUBSECTION
+                if need > room or not fits:
+                    break
+                room -= need
+                lines.append(block.text)
+            self.preface.pop()
+        return lines[::-1]
 
     def step(self, block: Block) -> None:
         text = block.text
         if block.kind == "table":
-            n = self.caption()
-            lines = [b.text for b in self.preface[len(self.preface) - n :]]
-            self.settle(keep=n)
-            self.preface = []
+            lines = self.caption()
+            self.settle()
             self.flush()
-            self.emit(True, "\n\n".join([*lines, text]))
-            self.after_table, self.footer_room = True, MAX_FOOTER
+            self.emit(True, "\n\n".join([*lines, text]), beside="\n".join(lines))
+            self.after_table, self.footers = True, []
             return
         if head := section_title(text):
             self.settle()
             self.flush()
             self.section, self.levels, self.pinned = head, [None, None], False
-        elif self.after_table and is_footer(text) and len(text) <= self.footer_room:
+        elif self.after_table and is_footer(text) and len(text) + len("\n\n".join(self.footers)) <= MAX_FOOTER:
             self.out[-1][-1] += "\n\n" + text
-            self.footer_room -= len(text)
+            self.footers.append(text)
             return
         elif is_subsection(block):
             self.settle()
@@ -283,7 +321,7 @@ class Chunker:
             self.preface.append(block)
             if sum(len(b.text) for b in self.preface) > PREFACE_WINDOW:
                 self.settle(keep=len(self.preface) - 1)
-                if sum(len(p) + 2 for p in self.prose) > MAX_TEXT:
+                if sum(map(len, self.prose)) > MAX_TEXT:
                     self.flush()
         self.after_table = False
 
@@ -300,14 +338,19 @@ def chunks_of(html: str | None) -> list[list]:
 
 def _mapped(pages: DataFrame, keys: list[str], html: str, schema: str, make) -> DataFrame:
     names = [c.split()[0] for c in schema.split(",")]
-    kinds = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
+    kept = StructType([pages.schema[k] for k in keys])
+    out = StructType([*kept.fields, *_parse_datatype_string(schema).fields])
 
-    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(out)
         for batch in batches:
-            rows = [(*key, i, *made) for *key, text in batch[[*keys, html]].itertuples(index=False) for i, made in enumerate(make(text))]
-            yield pd.DataFrame(rows, columns=[*keys, *names])
+            made = [[(i, *row) for i, row in enumerate(make(text))] for text in batch.column(len(keys)).to_pylist()]
+            whose = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]), pa.int64())
+            rows = [row for m in made for row in m]
+            columns = [batch.column(k).take(whose) for k in range(len(keys))] + [pa.array([r[i] for r in rows], shape.field(len(keys) + i).type) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
-    return pages.select(*keys, html).mapInPandas(body, f"{kinds}, {schema}")
+    return pages.select(*keys, html).mapInArrow(body, out)
 
 
 def html_blocks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
@@ -315,16 +358,15 @@ def html_blocks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
 
 
 def filing_chunks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """Chunks of every page; ``keys`` are any columns to carry along, so that no join brings them back."""
     return _mapped(pages, keys, html, CHUNKS, chunks_of)
 
 
 def chunk_filings(filings: DataFrame) -> DataFrame:
     """``filings(ticker, company_name, fiscal_year, fiscal_quarter, form, html, ...)`` -> chunk rows with ids."""
-    keys = ["ticker", "fiscal_year", "fiscal_quarter", "form"]
     meta = [c for c in ("company_name", "filing_date", "report_date", "quarter_period_label", "quarter_months") if c in filings.columns]
-    period = ids.fiscal_period(F.col("form"), F.col("fiscal_quarter"))
-    made = filing_chunks(filings, keys).join(filings.select(*keys, *meta), keys)
-    return made.withColumn("fiscal_period", period).select(
+    made = filing_chunks(filings, ["ticker", "fiscal_year", "fiscal_quarter", "form", *meta])
+    return made.withColumn("fiscal_period", ids.fiscal_period(F.col("form"), F.col("fiscal_quarter"))).select(
         ids.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("fiscal_period"), F.col("form"), F.col("pos")).alias("chunk_id"),
-        "ticker", *meta, F.col("form").alias("doc_type"), "fiscal_year", "fiscal_period", "is_table", "section", "subsection", "subsubsection", "text",
+        F.upper("ticker").alias("ticker"), *meta, F.col("form").alias("doc_type"), "fiscal_year", "fiscal_period", "is_table", "section", "subsection", "subsubsection", "text",
     )

@@ -18,11 +18,59 @@ def test_filing_chunks():
     made = filings.chunks_of(FILING)
     kinds = [(c[0], c[1], c[2], c[3]) for c in made]
     assert kinds[0] == (False, "Item 7. Management's Discussion", "Overview", None)
-    assert made[1][0] and made[1][4].startswith("Overview\n\nNet sales by region\n\n| Region | 2024 |\n| --- | --- |\n| Americas\\|All | $65 |") and made[1][4].endswith("(1) Includes services.")
+    assert made[1][0] and made[1][4].startswith("Overview\n\nNet sales by region\n\n| Region | 2024 |\n| --- | --- |\n| Americas\\|All | $ 65 |") and made[1][4].endswith("(1) Includes services.")
     assert "hidden" not in " ".join(c[4] for c in made) and "facts" not in " ".join(c[4] for c in made)
     assert made[-1][1] == "Part II"
 
 
+def test_text_nodes_meet_as_their_characters_ask():
+    assert filings.joined(["INCOME STA", "TEMENTS"]) == "INCOME STATEMENTS"
+    assert filings.joined(["Note:", "text"]) == "Note: text" and filings.joined(["$", "65,000", ")"]) == "$65,000)"
+    assert filings.joined(["BALANCE ", "SHEETS"]) == filings.joined(["BALANCE", " ", "SHEETS"]) == "BALANCE SHEETS"
+    assert filings.joined([" a", "\n", "", "b\xa0"]) == "a b" and filings.joined([]) == ""
+
+
+def test_footers_chrome_and_headers():
+    for text in ("(1) Includes services.", "* Less than one", "†", "Note: rounded", "Total net sales include", "includes tax", "Includes tax"):
+        assert filings.is_footer(text), text
+    for text in ("macOS revenue rose", "iPhone", "Item 7. Risks", "Acme Corp | Annual Report | 12", "Revenue rose", "", "a" * 201, "(1) " + "x" * 400):
+        assert not filings.is_footer(text), text
+    assert filings.is_chrome("Acme Corp | Annual Report | 12") and filings.is_chrome("Apple Inc. | Q1 2025 Form 10-Q | 6") and not filings.is_chrome("a | b")
+    assert filings.section_title("§ 12 Item 7. Discussion") == "Item 7. Discussion" and filings.section_title("The item 7") is None
+    heading = filings.Block("text", "Overview", None, True)
+    assert filings.is_subsection(heading) and not filings.is_subsection(filings.Block("text", "Overview.", None, True)) and not filings.is_subsection(filings.Block("text", "Overview", "center", True))
+
+
+def caption_of(*blocks):
+    chunker = filings.Chunker(preface=[filings.Block("text", *b) for b in blocks])
+    return chunker.caption(), [b.text for b in chunker.preface]
+
+
+def test_captions():
+    long = "The following table shows net sales by category for the years and quarters named in it, which is a caption of more than eighty characters"
+    assert caption_of(("prose " * 30,), (long,), ("(In millions)",)) == ([long, "(In millions)"], ["prose " * 30])
+    assert caption_of(("one",), ("two",)) == (["two"], ["one"])
+    assert caption_of(("Sales:",), ("two",)) == (["Sales:", "two"], [])
+    assert caption_of(("A", "center"), ("Acme | Report | 3", "center"), ("B", "center")) == (["A", "B"], [])
+    assert caption_of(("x" * 81,)) == ([], ["x" * 81])
+    assert caption_of((f"{'y' * 250}:",), (f"{'z' * 150}:",)) == ([f"{'z' * 150}:"], [f"{'y' * 250}:"])
+    assert caption_of(("bold one", None, True), ("Acme | Report | 3",), ("plain",)) == (["bold one", "plain"], [])
+
+
+def test_several_footers_share_one_budget():
+    foot = [f"({i}) " + "w" * 150 for i in range(4)]
+    made = filings.chunks_of("<table><tr><td>1</td></tr></table>" + "".join(f"<p>{f}</p>" for f in foot))
+    assert made[0][4] == "| 1 |\n| --- |\n\n" + "\n\n".join(foot[:2]) and len(made) == 2 and made[1][4] == "\n\n".join(foot[2:])
+
+
+def test_chunks_carry_their_columns(spark):
+    rows = spark.createDataFrame([("a", "Apple", 2025, "Q1", "10-Q", ["2024-10"], FILING), ("b", None, 2025, "Q1", "10-Q", None, FILING), ("b", None, 2025, "Q1", "10-Q", None, None)], "ticker string, company_name string, fiscal_year int, fiscal_quarter string, form string, quarter_months array<string>, html string")
+    made = filings.chunk_filings(rows)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.collect()
+    assert len(got) == 2 * len(filings.chunks_of(FILING)) and {(r.ticker, r.company_name, tuple(r.quarter_months or ())) for r in got} == {("A", "Apple", ("2024-10",)), ("B", None, ())}
+
+
 def test_notes_pin_the_first_level():
     chunker = filings.Chunker()
     for title in ("Note 3 Debt", "Terms", "Rates"):
@@ -44,7 +92,7 @@ def test_long_and_short_sections():
 
 def test_blocks_repair_and_repeat():
     found = filings.blocks_of("<p>one<p>two<div align=right>Right<br>three &amp; ( 4 ) %</div><p>same</p><p>same</p><script>no</script>")
-    assert [b.text for b in found] == ["one", "two", "Right", "three & (4)%", "same"]
+    assert [b.text for b in found] == ["one", "two", "Right", "three & ( 4 ) %", "same"]
     assert found[2].align == "right" and filings.is_subsection(found[2])
 
 
