@@ -1,4 +1,4 @@
-"""Company manifests (YAML), raw-period discovery and sidecar enrichment."""
+"""Company manifests (YAML), best filings and sidecar enrichment."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import ids
 
 ENTRY = "ticker string, name string, fiscal_year int, include boolean, quarters map<int, struct<fetch: boolean, transcript_url: string, form: string>>"
-FILING = r"([^/]+)/(\d{4})/[^/]*?_(\d{4})_(Q[1-4])_(?:10-[KQ])\.html?$"
-TRANSCRIPT = r"([^/]+)/(\d{4})/[^/]*?_(\d{4})_(Q[1-4])_transcript\.txt$"
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -70,22 +68,6 @@ def columnar_rows(submissions: DataFrame, keys: Sequence[str], inside: str = "re
     return submissions.where(whole).select(*[c for c in submissions.columns if c != inside], F.inline(F.arrays_zip(*[a.alias(k) for a, k in zip(arrays, keys, strict=True)])))
 
 
-def discover(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``files(path)``: periods that have a transcript and a filing, and those that have one only.
-
-    The year of the folder must be the year in the file's name.
-    """
-
-    def found(pattern: str, name: str) -> DataFrame:
-        part = [F.regexp_extract("path", pattern, i) for i in range(1, 5)]
-        return files.where(F.col("path").rlike(pattern)).select(F.upper(part[0]).alias("ticker"), part[1].alias("folder"), part[2].cast("int").alias("fiscal_year"), part[3].alias("fiscal_quarter"), F.col("path").alias(name)).where("folder = fiscal_year").drop("folder")
-
-    key = ["ticker", "fiscal_year", "fiscal_quarter"]
-    calls, filings = found(TRANSCRIPT, "transcript_path"), found(FILING, "filing_path").groupBy(*key).agg(F.min("filing_path").alias("filing_path"))
-    lone = calls.join(filings, key, "left_anti").select(*key).unionByName(filings.join(calls, key, "left_anti").select(*key))
-    return calls.join(filings, key), lone
-
-
 def enrich(periods_: DataFrame, sidecars: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Sidecar values fill what a period lacks; blank ones count as absent."""
     key = ["ticker", "fiscal_year", "fiscal_quarter"]

@@ -148,11 +148,8 @@ def test_manifest(spark, tmp_path):
         manifest.load_manifest(spark, f"{tmp_path}/bad.yml")
 
 
-def test_discovery_and_enrichment(spark):
-    files = spark.createDataFrame([(p,) for p in ("raw/AAPL/2025/AAPL_2025_Q1_transcript.txt", "raw/AAPL/2025/AAPL_2025_Q1_10-Q.html", "raw/AAPL/2024/AAPL_2025_Q2_transcript.txt", "raw/MSFT/2025/MSFT_2025_Q1_10-Q.html")], "path string")
-    both, lone = manifest.discover(files)
-    assert [(r.ticker, r.fiscal_quarter) for r in both.collect()] == [("AAPL", "Q1")]
-    assert [(r.ticker, r.fiscal_quarter) for r in lone.collect()] == [("MSFT", "Q1")]
+def test_enrichment(spark):
+    both = spark.createDataFrame([("AAPL", 2025, "Q1")], "ticker string, fiscal_year int, fiscal_quarter string")
     side = spark.createDataFrame([("AAPL", 2025, "Q1", " ", ["2024-10", "", None])], "ticker string, fiscal_year int, fiscal_quarter string, report_date string, quarter_months array<string>")
     got = manifest.enrich(both, side, ["report_date", "quarter_months"]).first()
     assert got.report_date is None and got.quarter_months == ["2024-10"]
