@@ -91,7 +91,9 @@ class SentenceExtractor:
     """Default claim extraction: sentences with a figure, in order, at most ``most`` for each call."""
 
     def __init__(self, most: int = 10):
-        self.most = min(most, 10)
+        if not 1 <= most <= 15:
+            raise ValueError("between 1 and 15 claims a call")
+        self.most = most
 
     def extract(self, calls: DataFrame, keys: list[str], body: str = "text") -> DataFrame:
         sentences = F.filter(F.transform(F.split(F.col(body), r"(?<=[.!?])\s+"), F.trim), lambda s: s.rlike(r"[0-9]") & (F.length(s) >= 20))
