@@ -40,6 +40,8 @@ FILTER_BITS = 1 << 25
 #: Distinct words whose hashes a worker remembers.
 MEMO = 500_000
 KEY = "__text_key"
+#: Texts to drop, of 32 bytes each, that are broadcast at most; more of them meet the documents in a shuffle.
+BROADCAST_KEYS = 250_000
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -216,5 +218,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     windows = _windows(benchmark, window)
     hits = _distinct_hits(_seen(docs, benchmark, windows, window, k, bits, all_rows=False))
     gone = join_apart(hits.select("key", "win"), windows.select("win").distinct(), "win", "left_semi").select(F.col("key").alias(KEY)).distinct()
-    gone = durable(gone, "contaminated")  # so that Spark knows its size and moves no texts where it is small enough to broadcast
-    return join_apart(docs.withColumn(KEY, F.md5(F.col("text").cast("binary"))), gone, KEY, "left_anti").drop(KEY)
+    gone = durable(gone, "contaminated")
+    keyed = docs.withColumn(KEY, F.md5(F.col("text").cast("binary")))
+    if gone.count() <= BROADCAST_KEYS:
+        return keyed.join(F.broadcast(gone), KEY, "left_anti").drop(KEY)
+    return join_apart(keyed, gone, KEY, "left_anti").drop(KEY)
