@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Expressions inside a lambda are not shared by the planner; a value bound here is.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column, which filters and projections above read instead of computing it again.
+
+    The planner merges projections and repeats a costly expression in each of their uses; it stops at a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

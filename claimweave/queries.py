@@ -601,17 +601,6 @@ def embed_texts(spark, d):
     return _read(spark, d, "benchmark").select("item_id", backends.HashedEmbedder(64).embed(F.col("text")).alias("embedding"))
 
 
-@query()
-def extract_claims(spark, d):
-    return backends.SentenceExtractor().extract(_read(spark, d, "documents"), ["doc_id"])
-
-
-@query()
-def golden_set(spark, d):
-    rows = _figured(spark, d).select(F.col("o_orderpriority").alias("ticker"), F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("fiscal_quarter"), F.format_string("%010d", "o_orderkey").alias("claim_id"), "claim")
-    return golden.golden_set(rows)
-
-
 @query()
 def nli_rule(spark, d):
     found = claim_check.check_claims(_claim_table(spark, d), _chunk_table(spark, d))

@@ -23,17 +23,7 @@ META = ".meta.json"
 MASTER = "all_chunks.jsonl"
 CIK_DIGITS = 10
 FILING_WAIT, PAGE_WAIT = 0.2, 1.5
-KINDS = {
-    "filing": r"/raw/filings/(\d+)/([^/]+)/\2_FY(\d{4})(?:_Q([1-4]))?_(10Q|10K)\.html$",
-    "transcript": r"/raw/transcripts/(\d+)/([^/]+)/FY(\d{4})_Q([1-4])()\.txt$",
-    "transcript_html": r"/raw/transcripts/(\d+)/([^/]+)/FY(\d{4})_Q([1-4])()(?:\.fool)?\.html$",
-    "golden": r"/eval/golden/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])()_golden_claims\.jsonl$",
-    "eval_claims": r"/eval/claims/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])()_claims\.jsonl?$",
-    "claims": r"(?<!/eval)/claims/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])()_claims\.jsonl?$",
-    "golden_report": r"/reports/golden/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])()_golden_eval\.json$",
-    "report": r"/reports/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])()_reports\.json$",
-    "chunks": r"/chunks/(\d+)/([^/]+)/[^/_]+_FY(\d{4})_Q([1-4])_([^/]+)\.jsonl$",
-}
+NAME = r"^(?:([^/_]+)_)?FY(\d{4})(?:_Q([1-4]))?(?:_(.+?))?\.(html|txt|jsonl|json)$"
 PERIOD = ["ticker", "fiscal_year", "fiscal_quarter"]
 
 
@@ -73,18 +63,40 @@ def sidecar_of(path: Column) -> Column:
 def described(files: DataFrame) -> DataFrame:
     """``files(path, ...)`` with kind, ticker, fiscal_year, fiscal_quarter and form; paths of no known kind are left out.
 
-    A file counts only in the folder of its own year.  A quarterly filing of the older naming has no quarter.
+    A file counts only in the folder of its own ticker and year.  A quarterly filing of the older naming has no quarter.
     """
-    out = F.lit(None).cast("struct<kind:string,folder:int,ticker:string,fiscal_year:int,fiscal_quarter:string,form:string>")
-    slashed = F.concat(F.lit("/"), F.col("path"))
-    for kind, pattern in KINDS.items():
-        part = [F.regexp_extract(slashed, pattern, i) for i in range(1, 6)]
-        quarter = F.when(part[3] != "", F.concat(F.lit("Q"), part[3])).when(part[4] == "10K", "Q4")
-        form = F.nullif(F.replace(part[4], F.lit("10"), F.lit("10-")) if kind == "filing" else part[4], F.lit(""))
-        out = F.coalesce(out, F.when(slashed.rlike(pattern), F.struct(
-            F.lit(kind).alias("kind"), part[0].cast("int").alias("folder"), F.upper(part[1]).alias("ticker"), part[2].cast("int").alias("fiscal_year"), quarter.alias("fiscal_quarter"), form.alias("form"),
-        )))
-    return files.withColumn("__d", out).where("__d is not null and __d.folder = __d.fiscal_year").select(*files.columns, "__d.kind", *[f"__d.{k}" for k in PERIOD], "__d.form")
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    above = F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 3, F.lit(0))), "/"))
+    read = F.struct(
+        above.alias("above"), F.try_element_at(parts, F.lit(-3)).try_cast("int").alias("folder"), F.try_element_at(parts, F.lit(-2)).alias("ticker"),
+        *[F.regexp_extract(name, NAME, i).alias(k) for i, k in ((1, "of"), (3, "q"), (4, "rest"), (5, "ending"))], F.regexp_extract(name, NAME, 2).try_cast("int").alias("year"),
+    )
+    # A row of its own for what was read, so that the planner computes it once.
+    rows = files.select(*files.columns, F.explode(F.array(read)).alias("__r")).where("__r.folder = __r.year and (__r.of = '' or upper(__r.of) = upper(__r.ticker))")
+    r = F.col("__r")
+    at = {kind: r["above"].endswith("/" + where) for kind, where in FOLDERS.items()}
+    named, lines = r["of"] != "", r["ending"].isin("jsonl", "json")
+    quarterly = r["q"] != ""
+    tests = (
+        ("filing", at["filing"] & named & (r["ending"] == "html") & ((r["rest"] == "10Q") | ((r["rest"] == "10K") & ~quarterly))),
+        ("transcript", at["transcript"] & ~named & quarterly & (r["ending"] == "txt") & (r["rest"] == "")),
+        ("transcript_html", at["transcript"] & ~named & quarterly & (r["ending"] == "html") & (r["rest"] == "")),
+        ("eval_claims", at["eval_claims"] & named & quarterly & lines & (r["rest"] == "claims")),
+        ("claims", at["claims"] & ~at["eval_claims"] & named & quarterly & lines & (r["rest"] == "claims")),
+        ("golden", at["golden"] & named & quarterly & (r["ending"] == "jsonl") & (r["rest"] == "golden_claims")),
+        ("golden_report", at["golden_report"] & named & quarterly & (r["ending"] == "json") & (r["rest"] == "golden_eval")),
+        ("report", at["report"] & named & quarterly & (r["ending"] == "json") & (r["rest"] == "reports")),
+        ("chunks", at["chunks"] & named & quarterly & (r["ending"] == "jsonl") & (r["rest"] != "")),
+    )
+    kind = F.lit(None).cast("string")
+    for label, holds in reversed(tests):
+        kind = F.when(holds, label).otherwise(kind)
+    form = F.when(F.col("kind") == "filing", F.replace("__r.rest", F.lit("10"), F.lit("10-"))).when(F.col("kind") == "chunks", F.col("__r.rest"))
+    quarter = F.when(quarterly, F.concat(F.lit("Q"), r["q"])).when((F.col("kind") == "filing") & (r["rest"] == "10K"), "Q4")
+    return rows.withColumn("kind", kind).where("kind is not null").select(
+        *files.columns, "kind", F.upper("__r.ticker").alias("ticker"), F.col("__r.year").alias("fiscal_year"), quarter.alias("fiscal_quarter"), form.alias("form"),
+    )
 
 
 def complete_periods(files: DataFrame, tickers: Sequence[str] = (), years: Sequence[int] = (), quarters: Sequence[str] = ()) -> DataFrame:

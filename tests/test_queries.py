@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from claimweave import queries
+from claimweave import more_queries as queries
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
