@@ -60,6 +60,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def finished(result: DataFrame, *read: DataFrame) -> DataFrame:
     """``result``, a written table, once the written tables that only it ``read`` are deleted.
 
@@ -79,7 +86,7 @@ def join_apart(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner"
     partitioning, and Spark splits no partition that an aggregate depends on.  A second, derived key makes
     the join deal both sides anew, so a key that holds a third of all rows spreads over many tasks.
     """
-    apart = "__apart"
+    apart = free("__apart", [*rows.columns, *summary.columns])
     marked = summary.withColumn(apart, F.xxhash64(key))
     return rows.withColumn(apart, F.xxhash64(key)).join(marked, [key, apart], how).drop(apart)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_apart, map_batches
+from .common import durable, free, join_apart, map_batches
 
 WINDOW = 8
 K = 5
@@ -215,11 +215,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` without the documents that hold any window of any item, all columns kept."""
+    name = free(KEY, docs.columns)
     windows = _windows(benchmark, window)
     hits = _distinct_hits(_seen(docs, benchmark, windows, window, k, bits, all_rows=False))
-    gone = join_apart(hits.select("key", "win"), windows.select("win").distinct(), "win", "left_semi").select(F.col("key").alias(KEY)).distinct()
+    gone = join_apart(hits.select("key", "win"), windows.select("win").distinct(), "win", "left_semi").select(F.col("key").alias(name)).distinct()
     gone = durable(gone, "contaminated")
-    keyed = docs.withColumn(KEY, F.md5(F.col("text").cast("binary")))
+    keyed = docs.withColumn(name, F.md5(F.col("text").cast("binary")))
     if gone.count() <= BROADCAST_KEYS:
-        return keyed.join(F.broadcast(gone), KEY, "left_anti").drop(KEY)
-    return join_apart(keyed, gone, KEY, "left_anti").drop(KEY)
+        return keyed.join(F.broadcast(gone), name, "left_anti").drop(name)
+    return join_apart(keyed, gone, name, "left_anti").drop(name)

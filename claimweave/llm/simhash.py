@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import durable, join_apart, map_batches
+from .common import durable, free, join_apart, map_batches
 from .components import connected_components
 
 SHINGLE = 4
@@ -272,7 +272,7 @@ def keep_one_of_each(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     if plain:
         gone = judged.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    fp, root, least = "__fingerprint", "__root", "__least"
+    fp, root, least = (free(x, docs.columns) for x in ("__fingerprint", "__root", "__least"))
     labels = judged.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)).distinct()
     kept = _with_fingerprint(docs, fp).join(labels, fp).where(F.col(least).isNull() | (F.col("doc_id") == F.col(least)))
     return kept.dropDuplicates([root]).select(*docs.columns)
