@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import backends
+from .functions import figures
 from .operators import golden
 from .queries import _CORRUPTIBLE, REGISTRY, SQL, _corruptible, _figured, _read, query
 from .sources import call_pages, layout
@@ -186,3 +187,20 @@ def modified_set(spark, d):
     return golden.modify_set(current, source).where("slot < 4").select("ticker", F.col("slot").cast("long").alias("slot"), "claim", "is_golden_claim")
 
 
+
+
+# ---------------------------------------------------------------- figures in varied wordings
+
+_FORMS = [
+    ("Revenue was $65.6 billion", "usd_m:6.56e+07"), ("$391 million", "usd_m:391"), ("margin of 46.2%", "pct:46.2"), ("up 1,234% on it", "pct:1234,pct:234"), ("in 2024 and 2025", ""),
+    ("150 stores", "usd_m:150"), ("12 stores", "num:12"), ("EPS of $1.64", "usd_m:1.64"), ("5b and 3m", "usd_m:3,usd_m:5e+06"), ("3.5 bn", "num:3.5"), ("no figures", ""),
+    ("1,250 units, 7 % and $2 B", "pct:7,usd_m:2e+06"), ("", ""), (None, ""),
+]
+
+
+@query(f"""WITH forms(k, claim, tokens) AS (VALUES {', '.join(f"({i}, {'NULL' if t is None else repr(t)}, {w!r})" for i, (t, w) in enumerate(_FORMS))})
+SELECT event_id, claim, tokens FROM events JOIN forms ON event_id % {len(_FORMS)} = k""")
+def figure_forms(spark, d):
+    forms = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_FORMS)], "k int, claim string")
+    rows = _read(spark, d, "events").select("event_id", F.pmod("event_id", F.lit(len(_FORMS))).cast("int").alias("k")).join(F.broadcast(forms), "k")
+    return rows.select("event_id", "claim", F.array_join(figures.reference_figures(F.col("claim")), ",").alias("tokens"))

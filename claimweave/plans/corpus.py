@@ -142,8 +142,11 @@ class Collection:
 
 
 def add_new(chunks: DataFrame, path: str) -> DataFrame:
-    """Chunks of periods that the table at ``path`` does not have yet; appends them."""
+    """Chunks of periods that the table at ``path`` does not have yet; appends them.  Only the years at hand are looked up."""
     spark = chunks.sparkSession
-    fresh = pending(chunks, spark.read.parquet(path), _KEYS) if _finished(spark, path) else chunks
-    fresh.write.mode("append").parquet(path)
+    fresh = chunks
+    if _finished(spark, path):
+        years = [r[0] for r in chunks.select("fiscal_year").distinct().collect()]  # one a year
+        fresh = pending(chunks, spark.read.parquet(path).where(F.col("fiscal_year").isin(years)), _KEYS)
+    fresh.write.mode("append").partitionBy("fiscal_year").parquet(path)
     return spark.read.parquet(path)

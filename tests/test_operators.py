@@ -206,6 +206,15 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     assert run() == run() == [1, 2, 3]
 
 
+def test_appending_looks_only_into_the_folders_at_hand(spark, tmp_path):
+    target = f"{tmp_path}/parts"
+    rows = lambda xs: spark.createDataFrame(xs, "id long, year int")
+    for batch in ([(1, 2024), (2, 2025), (3, None)], [(1, 2024), (1, 2025), (3, None)], [(4, 2026), (2, 2025)]):
+        ingest.append_new(rows(batch), target, ["id", "year"], "year")
+    got = sorted(((r.id, r.year) for r in spark.read.parquet(target).collect()), key=repr)
+    assert got == [(1, 2024), (1, 2025), (2, 2025), (3, None), (3, None), (4, 2026)]  # a key with a null equals none
+
+
 def test_models_are_tried_in_turn():
     waits, calls = [], []
 
