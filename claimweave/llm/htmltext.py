@@ -13,7 +13,8 @@ Scale: a narrow map in Arrow batches, nothing is shuffled; pages of like length
 within a bound on cells, so a very long page costs its own length only.
 
 Edge cases: a null or empty page, or one without main blocks, has empty text; repeated pages are read
-one by one; an empty table gives no rows; extra columns are ignored.
+one by one; a block as likely main text as not (a tie) is kept; a very long page is labelled whole, in linear
+time, with memory that grows with its number of blocks; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

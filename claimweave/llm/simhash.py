@@ -18,8 +18,9 @@ still meets.  Components are found by ``connected_components``.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other; repeated rows link
 to each other; rows that share an id are still told apart by their texts; a row without an id never
-names a component (one of such rows only has none); an empty table gives no rows; extra columns are
-ignored.
+names a component (one of such rows only has none); a bit that exactly half the shingles have is 0; a very
+long text is read whole and holds one hash a shingle; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
