@@ -33,17 +33,15 @@ def test_from_files_to_scores(spark, root, capsys):
     assert "# COMPANY_SUMMARY" in capsys.readouterr().out
     made = run("get-candidates")
     assert made.count() == 8
-    assert run("verify").count() == 8 and run("verify").count() == 8
+    assert run("verify").count() == 8
     golden = run("promote").count()
     assert spark.read.parquet(f"{root}/tables/candidates").where("is_golden_claim").count() == golden > 0
-    assert run("get-candidates", "--modify").count() == 8
     summary = run("run-golden").first()
     assert summary.n_claims == golden
     score = spark.read.parquet(f"{root}/tables/scores").where("expected <> 'Unverifiable'").first()
     flips = ["--flip", score.claim_id] if score else []
     assert run("recompute", *flips).first().n_claims == golden
     assert run("backfill").count() == 8
-    for _ in range(2):
-        assert run("probe", "--ticker", "AAPL", "--year", "2025", "--quarter", "Q1", "--claim", "Sales by region came to $65 million").count() == 1
+    assert run("probe", "--ticker", "AAPL", "--year", "2025", "--quarter", "Q1", "--claim", "Sales by region came to $65 million").count() == 1
     with pytest.raises(ValueError):
         run("build-chunks", "--ticker", "ZZZ")
