@@ -96,7 +96,8 @@ class SentenceExtractor:
         self.most = most
 
     def extract(self, calls: DataFrame, keys: list[str], body: str = "text") -> DataFrame:
-        sentences = F.filter(F.transform(F.split(F.col(body), r"(?<=[.!?])\s+"), F.trim), lambda s: s.rlike(r"[0-9]") & (F.length(s) >= 20))
+        # A bare F.trim would be given each element's index as the characters to trim.
+        sentences = F.filter(F.transform(F.split(F.col(body), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s.rlike(r"[0-9]") & (F.length(s) >= 20))
         return calls.select(*keys, F.posexplode(F.slice(F.array_distinct(sentences), 1, self.most)).alias("pos", "claim"))
 
 

@@ -230,3 +230,9 @@ def test_models_are_tried_in_turn():
     assert calls.count("first") == 8 and len(waits) == 9
     with pytest.raises(RuntimeError):
         backends.complete("p", ["first"], call, waits.append)
+
+
+def test_sentences_keep_their_digits(spark):
+    calls = spark.createDataFrame([(1, "0997 sales came to the house. 148.9 million were sold here! 22 stores were opened in 2022.")], "doc_id int, text string")
+    got = [r.claim for r in backends.SentenceExtractor().extract(calls, ["doc_id"]).orderBy("pos").collect()]
+    assert got == ["0997 sales came to the house.", "148.9 million were sold here!", "22 stores were opened in 2022."]
