@@ -9,6 +9,7 @@ from .functions import figures
 from .operators import golden
 from .queries import _CORRUPTIBLE, REGISTRY, SQL, _corruptible, _figured, _read, query
 from .sources import call_pages, layout
+from .storage import written
 
 __all__ = ["REGISTRY", "SQL"]
 
@@ -183,6 +184,7 @@ def modified_set(spark, d):
 
     rows = _corruptible(spark, d).where("o_orderkey % 4 < 3").select(F.concat(F.lit("T"), F.floor(F.col("o_orderkey") / 16).cast("string")).alias("ticker"), F.lit(2025).alias("fiscal_year"), F.lit("Q1").alias("fiscal_quarter"), F.pmod("o_orderkey", F.lit(16)).alias("i"), "claim", F.lit("x").alias("speaker"))
     source = rows.withColumn("pos", F.row_number().over(Window.partitionBy("ticker").orderBy("i")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("ticker"))).where("m >= 6").drop("i", "m")
+    source = written(source, "source-claims")  # read several times below
     current = source.where("pos < 8").withColumns({"slot": F.col("pos"), "claim_id": F.lit(None).cast("string"), "claim": F.when(F.col("pos") == 1, "kept as it is").otherwise("old"), "is_golden_claim": F.col("pos") == 1}).drop("pos")
     return golden.modify_set(current, source).where("slot < 4").select("ticker", F.col("slot").cast("long").alias("slot"), "claim", "is_golden_claim")
 

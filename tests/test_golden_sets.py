@@ -90,3 +90,17 @@ def test_number_of_claims_a_call():
     for n in (0, 16):
         with pytest.raises(ValueError):
             backends.SentenceExtractor(n)
+
+
+def test_only_periods_whose_first_choices_clash_make_every_rewrite(spark, monkeypatch):
+    wide = [(t, 2025, "Q1", i, f"Sales of ${20 + i * (t == 'A')} million in year {i % 7 if t == 'B' else i}", "s") for t in "AB" for i in range(8)]
+    told = spark.createDataFrame(wide, P + ", pos int, claim string, speaker string")
+    rows = spark.createDataFrame([(t, 2025, "Q1", i, f"{t}{i}", "old", "x", i == 1) for t in "AB" for i in range(8)], P + ", slot int, claim_id string, claim string, speaker string, is_golden_claim boolean")
+    rows = rows.withColumn("claim", F.when(F.expr("ticker = 'B' and slot = 1"), "Sales of $20 million in year 0").otherwise(F.col("claim")))
+    seen, whole = [], golden._choices
+    monkeypatch.setattr(golden, "_choices", lambda open_slots, *rest: seen.extend(r.ticker for r in open_slots.select("ticker").distinct().collect()) or whole(open_slots, *rest))
+    quick = sorted((tuple(r) for r in golden.modify_set(rows, told).collect()), key=str)
+    assert seen == ["B"]
+    kept = rows.where("is_golden_claim").withColumn("intended_label", golden.slot_label(F.col("slot")))
+    slow = golden._in_turn(rows, F.col("is_golden_claim"), told, lambda c, again: F.concat(F.when(again > 0, F.concat_ws(" ", F.lit("Again,"), again.cast("string"), F.lit(""))).otherwise(""), golden.unverifiable(c)))
+    assert sorted((r.ticker, r.slot, r.claim) for r in slow.collect()) == sorted((r[0], r[3], r[5]) for r in quick if not r[-1]) and kept.count() == 2
