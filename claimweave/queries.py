@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import backends
-from .functions import figures, fiscal, ids, rewrite, similarity, text
+from .functions import figures, fiscal, ids, numbers, rewrite, similarity, text
 from .operators import golden, metrics, relational, retrieval, sampling
 from .plans import claim_check
 from .sources import filings, jsonl, manifest, transcripts
@@ -143,9 +143,10 @@ def overlap_modes(spark, d):
     have = F.array(
         F.concat(F.lit("usd_m:"), figures.general(F.col("amount"))), F.concat(F.lit("pct:"), (F.col("share") + F.col("cnt") % 2).cast("string")), F.concat(F.lit("num:"), (F.col("cnt") + 1).cast("string"))
     )
-    need = figures.reference_figures(F.col("claim"))
+    rows = numbers.bound(numbers.bound(_figured(spark, d), "need", figures.reference_figures(F.col("claim"))), "have", have)
+    need, have = F.col("need"), F.col("have")
     hits = {f"{m}_hit": figures.score_overlap(need, have, m)["hit"] for m in figures.OVERLAP_MODES}
-    return _figured(spark, d).select("o_orderkey", *[h.alias(n) for n, h in hits.items()], F.array_join(figures.score_overlap(need, have, "half_money")["missing"], ",").alias("missing"))
+    return rows.select("o_orderkey", *[h.alias(n) for n, h in hits.items()], F.array_join(figures.score_overlap(need, have, "half_money")["missing"], ",").alias("missing"))
 
 
 @query(f"""WITH {_FACTS}, p AS (SELECT o_orderkey, amount, share, lower('In 2024 sales came to ' || shown || ' and rose ' || cnt || '% at stores') AS passage FROM facts), t AS (

@@ -31,12 +31,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
+#: Bytes of a scan, as Parquet, that one task of a costly expression takes at most where ``spread`` deals it.
+PIECE = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals a scan of fewer splits than cores over the cores; a larger or shuffled table stays as it is.
 
-    Worth it before costly expressions only.  What moves is bounded by one split a core.
+    Worth it before costly expressions only.  What moves is bounded by one split a core.  It is dealt in pieces of
+    ``PIECE`` bytes at most, so that tasks don't grow with the table until it has a split for every core.
     """
     if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # huge where unknown
+    return df.repartition(max(cores, min(-(-size // PIECE), 64 * cores)))

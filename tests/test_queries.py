@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__
 from claimweave import more_queries as queries
+from claimweave import storage
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -68,3 +69,10 @@ def test_entry_module_works_without_the_corpus_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None\ntry:\n import __spark_entry__ as e; q = e.queries()\nexcept ImportError: raise SystemExit('import failed')\nassert 'bm25_topk' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr + out.stdout
+
+
+def test_overlap_modes_read_each_claim_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    plan = queries.REGISTRY["overlap_modes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # figures and percents
+    monkeypatch.setattr(storage, "PIECE", 1000, raising=False)
+    assert storage.spread(spark.read.parquet(f"{SF}/orders.parquet")).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
