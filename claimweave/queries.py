@@ -195,7 +195,7 @@ _PLAIN = "docs AS (SELECT doc_id AS c, text AS t FROM documents), qs AS (SELECT
 SELECT q AS item_id, c AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM scored) WHERE rank <= 20""")
 def bm25_topk(spark, d):
     docs, claims = _read(spark, d, "documents"), _read(spark, d, "benchmark").withColumnRenamed("text", "query")
-    best = retrieval.top_k(retrieval.bm25(docs, claims, "doc_id", "item_id"), 20, "item_id", "doc_id")
+    best = retrieval.top_k(retrieval.bm25_best(retrieval.tokenised(docs, "doc_id"), claims, 20, "doc_id", "item_id")[0], 20, "item_id", "doc_id")
     return best.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -207,7 +207,7 @@ SELECT q AS item_id, c AS doc_id, score, rank FROM (SELECT *, row_number() OVER
 def filtered_retrieve(spark, d):
     docs = _read(spark, d, "documents")
     claims = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.expr(_LANG_OF).alias("lang"))
-    best = retrieval.top_k(retrieval.bm25(docs, claims, "doc_id", "item_id", on=["lang"]), 10, "item_id", "doc_id")
+    best = retrieval.top_k(retrieval.bm25_best(retrieval.tokenised(docs, "doc_id", keep=["lang"]), claims, 10, "doc_id", "item_id", on=["lang"])[0], 10, "item_id", "doc_id")
     return best.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -241,9 +241,8 @@ f AS (SELECT q, c, round(sum(1.0 / (60 + rank)), 9) AS score, min(channel * 1000
 SELECT q AS item_id, c AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen, c) AS rank FROM f) WHERE rank <= 10""")
 def rrf_hybrid(spark, d):
     docs, claims = _read(spark, d, "documents"), _read(spark, d, "benchmark").withColumnRenamed("text", "query")
-    index = retrieval.index_of(docs, "doc_id")
-    common = retrieval.common_terms(index, claims, "doc_id", "item_id").withColumnRenamed("n", "score")
-    best = retrieval.hybrid(common, retrieval.bm25(docs, claims, "doc_id", "item_id", index=index), 10, "item_id", "doc_id")
+    common, ranked = retrieval.bm25_best(retrieval.tokenised(docs, "doc_id"), claims, retrieval.MIN_CHANNEL, "doc_id", "item_id", channels=("common", "bm25"))
+    best = retrieval.hybrid(common, ranked, 10, "item_id", "doc_id")
     return best.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

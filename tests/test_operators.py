@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave import backends
-from claimweave.operators import golden, metrics, relational, retrieval, sampling
+from claimweave.operators import golden, metrics, relational, retrieval, sampling, scan
 from claimweave.plans import claim_check, outputs
 from claimweave.schemas import BUCKETS
 from claimweave.streaming import ingest
@@ -236,3 +236,32 @@ def test_sentences_keep_their_digits(spark):
     calls = spark.createDataFrame([(1, "0997 sales came to the house. 148.9 million were sold here! 22 stores were opened in 2022.")], "doc_id int, text string")
     got = [r.claim for r in backends.SentenceExtractor().extract(calls, ["doc_id"]).orderBy("pos").collect()]
     assert got == ["0997 sales came to the house.", "148.9 million were sold here!", "22 stores were opened in 2022."]
+
+
+def test_one_scan_finds_the_best_of_all_pairs(spark, monkeypatch):
+    words = ["cash flow", "cash", "cash debt rose", "net debt net", "the the cash", "rose", None, "", "cash", "debt cash flow"]
+    docs = spark.createDataFrame([(f"c{i:02d}", "a" if i % 4 else None, w) for i, w in enumerate(words * 4)], "chunk_id string, kind string, text string").repartition(3)
+    asked = spark.createDataFrame([("q1", "a", "cash debt debt"), ("q2", "a", "cash"), ("q3", None, "net"), ("q4", "b", "cash"), ("q5", "a", "zzz")], "claim_id string, kind string, query string")
+    tokens = retrieval.tokenised(docs, keep=["kind"])
+    for block in (1, 2_000_000):
+        monkeypatch.setattr(scan, "CELLS", block)  # reaches this process only; the body takes its own way on workers
+        for on in ([], ["kind"]):
+            plain = [retrieval.bm25(docs, asked, on=on)] + [retrieval.common_terms(retrieval.index_of(docs), asked).withColumnRenamed("n", "score")] * (not on)
+            quick = retrieval.bm25_best(tokens, asked, 3, on=on, channels=("bm25", "common")[: len(plain)])
+            for a, b in zip(plain, quick):
+                want, got = ([(r.claim_id, r.rank, r.chunk_id, float(r.score)) for r in retrieval.top_k(x, 3).orderBy("claim_id", "rank").collect()] for x in (a, b))
+                assert got == want and want
+                assert b.groupBy("claim_id").count().agg(F.max("count")).first()[0] <= 3 * 4  # k a task, not every pair
+    monkeypatch.setattr(retrieval, "SCAN_TERMS", 1)
+    wide = retrieval.bm25_best(tokens, asked, 3, on=["kind"])[0]
+    assert sorted(retrieval.top_k(wide, 3).collect(), key=str) == sorted(retrieval.top_k(retrieval.bm25(docs, asked, on=["kind"]), 3).collect(), key=str)
+
+
+@pytest.mark.parametrize("odd", [None, [1.0], [float("nan"), 0.0]])
+def test_one_scan_of_vectors(spark, odd):
+    rows = [(i, i % 3, [math.cos(i // 2), math.sin(i // 2)]) for i in range(60)] + ([(60, 1, odd)] if odd != [1.0] else [])
+    vectors = spark.createDataFrame(rows, "chunk_id int, label int, embedding array<float>").repartition(3)
+    asked = vectors.where("chunk_id % 10 = 0 and chunk_id < 60").withColumnRenamed("chunk_id", "claim_id")
+    for on in ([], ["label"]):
+        want, got = (sorted(map(str, retrieval.top_k(f, 4).collect())) for f in (retrieval.dense(vectors, asked, on=on), retrieval.dense_best(vectors, asked, 4, on=on)))
+        assert got == want
