@@ -218,7 +218,7 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 def dense_topk(spark, d):
     vectors = _read(spark, d, "embeddings")
     asked = vectors.where(F.pmod("vec_id", F.lit(100)) == 0).withColumnRenamed("vec_id", "query_id")
-    best = retrieval.top_k(retrieval.dense(vectors, asked, "vec_id", "query_id"), 10, "query_id", "vec_id")
+    best = retrieval.top_k(retrieval.dense_best(vectors, asked, 10, "vec_id", "query_id"), 10, "query_id", "vec_id")
     return best.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -229,7 +229,7 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 def dense_filtered(spark, d):
     vectors = _read(spark, d, "embeddings")
     asked = vectors.where(F.pmod("vec_id", F.lit(100)) == 0).withColumnRenamed("vec_id", "query_id")
-    best = retrieval.top_k(retrieval.dense(vectors, asked, "vec_id", "query_id", on=["label"]), 5, "query_id", "vec_id")
+    best = retrieval.top_k(retrieval.dense_best(vectors, asked, 5, "vec_id", "query_id", on=["label"]), 5, "query_id", "vec_id")
     return best.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
