@@ -1,5 +1,6 @@
 """Filing and transcript chunkers, JSON records, manifests."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,10 @@ def test_corpus_build_is_incremental(spark, tmp_path):
     first = corpus.add_new(chunks.where("fiscal_period = 'Q1'"), f"{tmp_path}/grown").count()
     assert corpus.add_new(chunks, f"{tmp_path}/grown").count() == n > first
     assert corpus.add_new(chunks, f"{tmp_path}/grown").count() == n
+
+
+def test_a_batch_is_read_in_slices_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(filings, "SLICE", 10, raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * 6, None, "y" * 4, "z" * 30, "w"])], ["k", "html"])
+    assert [part.column(0).to_pylist() for part in filings.slices(batch, 1)] == [[0, 1, 2], [3], [4]]
+    assert [part.num_rows for part in filings.slices(batch.slice(2), 1)] == [1, 1, 1]
